@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reprise.llm import simhash
+from reprise.llm import mixing, packing, pu, quality_rules, simhash, token_files
 from reprise.llm.common import table
 
 
@@ -14,8 +14,31 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pu.score_quality(docs, pu.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode_to_files(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    own = (op1_simhash, op2_quality_rules, op3_pu_quality, op5_bin_packing, op6_source_mix, op8_token_files)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
