@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reprise.llm import mixing, packing, pu, quality_rules, simhash, token_files
+from reprise.llm import mixing, packing, pu, quality_rules, secrets, simhash, substrings, token_files
 from reprise.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.score_quality(docs, pu.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op5_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -32,12 +36,16 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).select("doc.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_quality_rules, op3_pu_quality, op5_bin_packing, op6_source_mix, op8_token_files)
+    own = (op1_simhash, op2_quality_rules, op3_pu_quality, op4_substring_dedup, op5_bin_packing, op6_source_mix, op7_secret_scan, op8_token_files)
     return {f.__name__: f for f in own}
 
 
