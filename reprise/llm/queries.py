@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reprise.llm import mixing, packing, pu, quality_rules, secrets, simhash, substrings, token_files
+from reprise.llm import brown, mixing, packing, pu, quality_rules, secrets, simhash, spotsigs, substrings, token_files
 from reprise.llm.common import table
 
 
@@ -44,8 +44,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(table(spark, sf_dir, "documents"))
 
 
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_quality_rules, op3_pu_quality, op4_substring_dedup, op5_bin_packing, op6_source_mix, op7_secret_scan, op8_token_files)
+    own = (op1_simhash, op2_quality_rules, op3_pu_quality, op4_substring_dedup, op5_bin_packing, op6_source_mix, op7_secret_scan, op8_token_files, op9_brown_lm, op10_spotsigs)
     return {f.__name__: f for f in own}
 
 
