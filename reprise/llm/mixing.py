@@ -10,6 +10,7 @@ Slots meet blocks by an equi-join on (source, block).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -81,21 +82,30 @@ def draw_shards(quota: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, key, size) per row; key is a hash of all three of id, source and text."""
+
     def make():
         def step(rows):
-            return {"doc_id": pa.array(rows["doc_id"], pa.int64()), "source": pa.array(rows["source"], pa.string()), "size": pa.array([len(words_of(t)) for t in rows["text"]], pa.int64())}
+            size = pa.array([len(words_of(t)) for t in rows["text"]], pa.int64())
+            return {"doc_id": pa.array(rows["doc_id"], pa.int64()), "source": pa.array(rows["source"], pa.string()), "key": pa.array(rows["key"], pa.int64()), "size": size}
 
         return step
 
-    return per_document(docs.select("doc_id", "source", "text"), "doc_id long, source string, size long", make)
+    rows = docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("key"), "text")
+    return per_document(rows, "doc_id long, source string, key long, size long", make)
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, seed: int = 17, run: int = RUN) -> DataFrame:
-    """Per row of ``docs`` (doc_id, source, text): doc_id, size, source, source_size, target (its source's), taken.
+@dataclass
+class Plan:
+    placed: DataFrame  # a row per document: its source's figures, and where it begins in its source's stream
+    cut: DataFrame  # (source_no, begin, block, part_from, part_to): the parts of documents in blocks, in words of the document
+    times: DataFrame  # (source_no, block, times): how often the mix takes a block
 
-    A null text has no words and a document without words takes none; null sources are one source, last in order; repeated rows
-    and null ids are documents of their own; an empty table gives no rows. The driver holds one row a source and
-    the counts by shard and source, at most MOST_SHARDS rows.
+
+def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, seed: int = 17, run: int = RUN) -> Plan | None:
+    """Lay out the sources of ``docs`` (doc_id, source, text) and draw the mix; None for an empty table.
+
+    The driver holds one row a source and the counts by shard and source, at most MOST_SHARDS rows.
     """
     spark = docs.sparkSession
     sized = materialize(word_counts(docs), "sizes")
@@ -104,7 +114,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, s
     found = tally.groupBy("source").agg(F.sum("words").alias("words")).collect()
     sources = sorted(((r["source"], int(r["words"])) for r in found), key=lambda x: (x[0] is None, x[0] or ""))
     if not sources:
-        return sized.select("doc_id", "size", "source", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
+        return None
     sizes = [n for _, n in sources]
     targets = share_out(sizes, weights)
     blocks = np.array([-(-n // block) for n in sizes], np.int64)
@@ -126,15 +136,70 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, s
     table = spark.createDataFrame(rows, "source_no int, source string, source_size long, target double")
     before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = tally.select("source", "run", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "run").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "run").orderBy("doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     a, r = spread.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("a"), runs.alias("r")
-    placed = a.join(r, F.col("a.source").eqNullSafe(F.col("r.source")) & (F.col("a.run") == F.col("r.run"))).select("doc_id", "size", "a.source", (F.col("before") + F.col("inside")).alias("begin")).alias("p")
-    placed = placed.join(table.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("doc_id", "size", "p.source", "source_no", "source_size", "target", "begin")
+    placed = a.join(r, F.col("a.source").eqNullSafe(F.col("r.source")) & (F.col("a.run") == F.col("r.run"))).select("doc_id", "size", "key", "a.source", (F.col("before") + F.col("inside")).alias("begin")).alias("p")
+    placed = placed.join(table.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("doc_id", "size", "key", "p.source", "source_no", "source_size", "target", "begin")
     placed = materialize(placed, "placed")
 
     times = spark.range(len(counts), numPartitions=max(1, min(len(counts), 4096))).mapInArrow(slots, "source_no int, block long").groupBy("source_no", "block").agg(F.count("*").alias("times"))
     cut = placed.where("size > 0").select("source_no", "begin", "size", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")).alias("block"))
-    words = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
-    taken = cut.join(times, ["source_no", "block"]).groupBy("source_no", "begin").agg(F.sum(words * F.col("times")).alias("taken"))
-    full = placed.withColumn("at", F.when(F.col("size") > 0, F.col("begin"))).join(taken.withColumnRenamed("begin", "at"), ["source_no", "at"], "left")
+    part_from = F.greatest(F.col("begin"), F.col("block") * block) - F.col("begin")
+    part_to = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.col("begin")
+    return Plan(placed, cut.select("source_no", "begin", "block", part_from.alias("part_from"), part_to.alias("part_to")), times)
+
+
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """Per row of ``docs`` (doc_id, source, text): doc_id, size, source, source_size, target (its source's), taken.
+
+    A null text has no words and a document without words takes none; null sources are one source, last in order; repeated rows
+    and null ids are documents of their own; an empty table gives no rows.
+    """
+    plan = plan_mix(docs, weights, block, seed)
+    if plan is None:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("size"), "source", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+    words = (F.col("part_to") - F.col("part_from")) * F.col("times")
+    taken = plan.cut.join(plan.times, ["source_no", "block"]).groupBy("source_no", "begin").agg(F.sum(words).alias("taken"))
+    full = plan.placed.withColumn("at", F.when(F.col("size") > 0, F.col("begin"))).join(taken.withColumnRenamed("begin", "at"), ["source_no", "at"], "left")
     return full.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """The documents of the mix, with the columns of ``docs``; n_chars, where there is one, follows the text.
+
+    A document gives as many rows as its most taken block is taken. Its first row has the parts taken at least once, its second those taken at
+    least twice, and so on; a row with all parts has the text as it was, others their words, joined by one space. What the mix
+    doesn't take isn't there, and so are documents without words. An empty table gives no rows.
+    """
+    plan = plan_mix(docs, weights, block, seed)
+    if plan is None:
+        return docs
+    parts = plan.cut.join(plan.times, ["source_no", "block"]).groupBy("source_no", "begin").agg(F.collect_list(F.struct("part_from", "part_to", "times")).alias("_parts"))
+    same = Window.partitionBy("_id", "_key")
+    taken = plan.placed.where("size > 0").join(parts, ["source_no", "begin"]).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key"), "begin", "_parts")
+    taken = taken.select("_id", "_key", F.row_number().over(same.orderBy("begin")).alias("_nth"), "_parts")
+    # repeated rows are alike in id, source and text, so any of them may have any of the places
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("doc_id", "source", "text").alias("_key"), F.col("text").alias("_text"))
+    rows = rows.withColumn("_nth", F.row_number().over(same.orderBy("_key")))
+    joined = rows.join(taken, ["_id", "_key", "_nth"]).select("_row", "_text", "_parts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, texts = [], []
+            for i, (text, parts) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_parts").to_pylist(), strict=True)):
+                words, whole = None, sum(p["part_to"] - p["part_from"] for p in parts)
+                words = words_of(text)
+                parts.sort(key=lambda p: p["part_from"])
+                for copy in range(1, max(p["times"] for p in parts) + 1):
+                    some = [p for p in parts if p["times"] >= copy]
+                    complete = whole == len(words) and len(some) == len(parts)
+                    texts.append(text if complete else b" ".join(w for p in some for w in words[p["part_from"] : p["part_to"]]).decode())
+                    at.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(at, pa.int64())), pa.array(texts, pa.string())], ["_row", "_text"])
+
+    row_type = joined.schema["_row"].dataType
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    made = joined.mapInArrow(run, StructType([StructField("_row", row_type), StructField("_text", StringType())]))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return made.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -8,6 +8,7 @@ prior, and near it where negatives are rare. Training minimises the non-negative
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,3 +130,16 @@ def score_quality(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -
 
     rows = docs.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), "text")
     return per_document(rows, "doc_id long, held_out boolean, score double, predicted int", make)
+
+
+def keep_quality(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is at least ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
+                x = np.array([features(t)[1] for t in rows.column("text").to_pylist()])
+                yield rows.filter(pa.array(net.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -136,7 +136,7 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None) -> DataFrame
     return rows.select("doc", "text", *[f"n_{k}" for k in KINDS[:3]], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"), "found")
 
 
-def redact(found: DataFrame, mark: str = "[SECRET]") -> Column:
+def redact(mark: str = "[SECRET]") -> Column:
     """The text of find_secrets' rows with every span, or run of spans that overlap, replaced by ``mark``."""
     ordered = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))

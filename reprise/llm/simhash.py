@@ -195,3 +195,23 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, parts: int
     lowest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     owners = roots.join(lowest, "root").select("fp", "component_id")
     return fps.join(owners, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that stand for their near-duplicate group: those with its smallest doc_id.
+
+    Rows that repeat an id and its text are one document and give one row. Rows without an id stay where no row with an
+    id is near; identical ones among them give one row.
+    """
+    groups = simhash_groups(docs, words, radius)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fingerprint").distinct()
+    known = docs.where("doc_id is not null").join(stay.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.dropDuplicates(["doc_id", "text"])
+    # rows without an id are told apart by their fingerprints
+    lone = stay.where("doc_id is null").select("fingerprint")
+    blank = docs.where("doc_id is null").withColumn("fingerprint", F.lit(None).cast("string"))
+    blank = blank.drop("fingerprint").dropDuplicates(["text"])
+    marked = blank.select(F.struct("*").alias("row"), "text", F.xxhash64("text").alias("doc_id"))
+    prints = fingerprints(marked, words).select(F.col("doc_id").alias("key"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")).distinct()
+    blank = marked.join(prints.join(lone, "fingerprint").select(F.col("key").alias("doc_id")).distinct(), "doc_id", "left_semi").select("row.*")
+    return known.select(docs.columns).unionByName(blank.select(docs.columns))
