@@ -41,7 +41,8 @@ def shingles(tokens: Column, k: int = SHINGLE) -> Column:
 
 def portable_signatures(df: DataFrame, key: str, shingle_column: str, hashes: int) -> DataFrame:
     """(key, slot, value): the least hash of each function over a set of shingles. Partial minima are taken before the shuffle."""
-    rows = df.select(key, F.explode(shingle_column).alias("s")).select(key, portable_hash(F.col("s")).alias("h"))
+    # the outer form, as the optimiser would put a copy of the shingles' whole expression in a filter before the inner one
+    rows = df.select(key, F.explode_outer(shingle_column).alias("s")).where("s is not null").select(key, portable_hash(F.col("s")).alias("h"))
     least = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(seeds(hashes))]
     wide = rows.groupBy(key).agg(*least)
     return wide.select(key, F.posexplode(F.array(*[F.col(f"m{i}") for i in range(hashes)])).alias("slot", "value"))

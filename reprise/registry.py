@@ -1,13 +1,508 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the test tables, and SQL that gives the same rows.
+
+A container is a document, page or conversation. Windows are of the defaults: at least 5 units, growth 5. Where sequences meet,
+equal ones are one class, named by its key; pairs are of classes.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from reprise.config import Settings
+from reprise.functions import normalize as norm
+from reprise.operators import clustering, lsh, pairs, reports, similarity, variation, windows
+from reprise.operators.components import connected_components
+from reprise.plans import analysis
+from reprise.sources import tables
+from reprise.storage import materialize
+
+FLAGSHIP = "exact_window_links"
+_ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _ALL[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_ALL)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- units ---------------------------------------------------------------------------------------------------------
+
+_SPLIT = r"list_filter(regexp_split_to_array({0}, '[.!?]+[ \t\r\n]+|\n+'), lambda x: regexp_replace(x, '[ \t\r\n]', '', 'g') <> '')"
+_BODIES = f"bodies as (select doc_id as container_id, {_SPLIT.format('text')} as units from documents)"
+_UNITS = "units as (select container_id, i - 1 as unit_idx, units[i] as text from bodies, unnest(range(1, len(units) + 1)) as t(i))"
+_FUZZY = r"regexp_replace(lower(regexp_replace({0}, '(?s)/\*.*?\*/', '', 'g')), '[0-9]+', 'NUM_LIT', 'g')"
+_NORM = f"normed as (select container_id, list_transform(units, lambda u: {_FUZZY.format('u')}) as units from bodies)"
+_WINDOWS = """wins as (select container_id, s as start_offset, least(10, len(units) - s) as n, units[s + 1 : s + least(10, len(units) - s)] as win
+  from normed, unnest(range(0, len(units) - 4)) as t(s) where len(units) >= 5)"""
+_KEYED = "keyed as (select container_id, start_offset, n, win, md5(array_to_string(win, chr(1))) as key from wins)"
+
+
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    return tables.unit_arrays(tables.read_table(spark, d, "documents"), "doc_id", "text")
+
+
+def _normed(spark: SparkSession, d: str) -> DataFrame:
+    return _bodies(spark, d).select("container_id", F.transform("units", lambda u: norm.fuzzy(u)).alias("units"))
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return windows.maximal(_normed(spark, d)).select("container_id", "start_offset", "n", F.col("window").alias("win"), windows.window_key(F.col("window")).alias("key"))
+
+
+@_query(f"with {_BODIES}, {_UNITS} select container_id, unit_idx, text from units")
+def units(spark, d):
+    return tables.prose_units(tables.read_table(spark, d, "documents"), "doc_id", "text")
+
+
+_PAGE = "html"
+for _pattern, _to in tables._HTML:
+    _PAGE = f"regexp_replace({_PAGE}, '{_pattern}', '{_to}', 'g')".replace("'\n'", "chr(10)")
+
+
+@_query(f"with bodies as (select page_id as container_id, {_SPLIT.format(_PAGE)} as units from pages), {_UNITS} select container_id, unit_idx, text from units")
+def page_units(spark, d):
+    return tables.page_units(tables.read_table(spark, d, "pages"))
+
+
+@_query("select conv_id as container_id, turn::int as unit_idx, text from conversations where text is not null")
+def conversation_units(spark, d):
+    return tables.conversation_units(tables.read_table(spark, d, "conversations"))
+
+
+@_query(f"with {_BODIES}, normed as (select * from bodies), {_WINDOWS}, {_KEYED} select container_id, start_offset, n, key from keyed")
+def windows_maximal(spark, d):
+    return windows.maximal(_bodies(spark, d)).select("container_id", "start_offset", "n", windows.window_key(F.col("window")).alias("key"))
+
+
+@_query(f"""with {_BODIES} select container_id, s as start_offset, n, md5(array_to_string(units[s + 1 : s + n], chr(1))) as key
+  from bodies, unnest(range(0, len(units) - 4)) as t(s), unnest(range(5, least(10, len(units) - s) + 1)) as u(n) where len(units) >= 5""")
+def windows_limited(spark, d):
+    return windows.limited(_bodies(spark, d)).select("container_id", "start_offset", "n", windows.window_key(F.col("window")).alias("key"))
+
+
+@_query(f"with {_BODIES} select container_id, len(units) as n, md5(array_to_string(units, chr(1))) as key from bodies where len(units) > 10")
+def windows_full_body(spark, d):
+    return windows.full_bodies(_bodies(spark, d)).select("container_id", "n", windows.window_key(F.col("window")).alias("key"))
+
+
+# --- normal forms and tokens -----------------------------------------------------------------------------------------
+
+_STRICT = r"regexp_replace(text, '(?s)/\*.*?\*/', '', 'g')"
+for _pattern, _to in norm.LITERALS:
+    _STRICT = f"regexp_replace({_STRICT}, '{_pattern}', '{_to}', 'g')"
+
+
+@_query(f"with {_BODIES}, {_UNITS} select container_id, unit_idx, {_STRICT} as norm from units")
+def normalize_strict(spark, d):
+    return units(spark, d).select("container_id", "unit_idx", norm.strict(F.col("text")).alias("norm"))
+
+
+@_query(f"with {_BODIES}, {_UNITS} select container_id, unit_idx, {_FUZZY.format('text')} as norm from units")
+def normalize_fuzzy(spark, d):
+    return units(spark, d).select("container_id", "unit_idx", norm.fuzzy(F.col("text")).alias("norm"))
+
+
+_TOKENS = r"tok as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda x: x <> '') as tokens from documents)"
+_SHINGLES = """shin as (select doc_id, list_distinct(list_transform(range(1, greatest(len(tokens) - 3, 0) + 2), lambda i: array_to_string(tokens[i : i + 2], ' '))) as shingles from tok)"""
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tables.read_table(spark, d, "documents").select("doc_id", norm.tokens(F.col("text")).alias("tokens"))
+
+
+def _shingles(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(spark, d).select("doc_id", lsh.shingles(F.col("tokens")).alias("shingles"))
+
+
+@_query(f"with {_TOKENS} select doc_id, len(tokens) as n_tokens, md5(array_to_string(tokens, ' ')) as tokens_md5 from tok")
+def tokens(spark, d):
+    return _tokens(spark, d).select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
+_HASH = "('0x' || substr(md5({0}), 1, 8))::bigint"
+
+
+@_query(f"with {_TOKENS}, {_SHINGLES}, h as (select doc_id, {_HASH.format('s')} as h from shin, unnest(shingles) as t(s)) select doc_id, count(*) as n_shingles, sum(h)::bigint as hash_sum from h group by doc_id")
+def shingles(spark, d):
+    rows = _shingles(spark, d).select("doc_id", F.explode_outer("shingles").alias("s")).where("s is not null")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_shingles"), F.sum(lsh.portable_hash(F.col("s"))).alias("hash_sum"))
+
+
+_SET = Settings()
+_SEEDS = "seeds(slot, a, b) as (values " + ", ".join(f"({i}, {a}::bigint, {b}::bigint)" for i, (a, b) in enumerate(lsh.seeds(_SET.hashes))) + ")"
+_REPS = "reps as (select min(doc_id) as doc_id from documents group by md5(coalesce(text, '')))"
+_SIGS = f"""{_TOKENS}, {_SHINGLES}, {_REPS}, {_SEEDS}, h as (select doc_id, {_HASH.format('s')} as h from shin semi join reps using (doc_id), unnest(shingles) as t(s)),
+  sigs as (select doc_id, slot, min((h * a + b) % {lsh.PRIME}) as value from h, seeds group by doc_id, slot)"""
+_BUCKETS = f"{_SIGS}, buckets as (select doc_id, slot // {_SET.rows_per_band} as band, md5(string_agg(value::varchar, '-' order by slot)) as bucket from sigs group by doc_id, slot // {_SET.rows_per_band})"
+_CANDIDATES = f"{_BUCKETS}, cands as (select distinct a.doc_id as id1, b.doc_id as id2 from buckets a join buckets b on a.band = b.band and a.bucket = b.bucket and a.doc_id < b.doc_id)"
+
+
+def _representatives(spark: SparkSession, d: str) -> DataFrame:
+    """One document of each text."""
+    docs = tables.read_table(spark, d, "documents")
+    return docs.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+def _signatures(spark: SparkSession, d: str) -> DataFrame:
+    return lsh.portable_signatures(_shingles(spark, d).join(_representatives(spark, d), "doc_id", "left_semi"), "doc_id", "shingles", _SET.hashes)
+
+
+def _buckets(spark: SparkSession, d: str) -> DataFrame:
+    return lsh.portable_buckets(_signatures(spark, d), "doc_id", _SET.rows_per_band)
+
+
+@_query("select doc_id, min(doc_id) over (partition by md5(coalesce(text, ''))) as class_id from documents")
+def copy_classes(spark, d):
+    docs = tables.read_table(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    return docs.join(docs.groupBy("key").agg(F.min("doc_id").alias("class_id")), "key").select("doc_id", "class_id")
+
+
+@_query(f"with {_SIGS} select doc_id, slot::int as slot, value from sigs")
+def minhash_portable(spark, d):
+    return _signatures(spark, d)
+
+
+@_query(f"with {_BUCKETS} select doc_id, band::int as band, bucket from buckets")
+def lsh_buckets(spark, d):
+    return _buckets(spark, d)
+
+
+@_query(f"with {_CANDIDATES} select id1, id2 from cands")
+def lsh_candidates(spark, d):
+    """Candidates among distinct texts; copies are in copy_classes."""
+    return lsh.candidate_pairs(materialize(_buckets(spark, d), "buckets"), "doc_id")
+
+
+@_query(f"with {_CANDIDATES}, equal as (select id1, id2, count(*) as n from cands join sigs a on a.doc_id = id1 join sigs b on b.doc_id = id2 and a.slot = b.slot where a.value = b.value group by id1, id2) select id1, id2, n / {_SET.hashes}::double as estimate from equal")
+def jaccard_estimates(spark, d):
+    sigs = materialize(_signatures(spark, d), "signatures")
+    found = lsh.candidate_pairs(lsh.portable_buckets(sigs, "doc_id", _SET.rows_per_band), "doc_id")
+    wide = sigs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("s"))
+    a, b = (wide.select(F.col("doc_id").alias(f"id{k}"), F.transform("s", lambda x: x["value"]).alias(f"s{k}")) for k in (1, 2))
+    return found.join(a, "id1").join(b, "id2").select("id1", "id2", lsh.estimate(F.col("s1"), F.col("s2")).alias("estimate"))
+
+
+# --- window classes and links ----------------------------------------------------------------------------------------
+
+_CLASSES = f"with {_BODIES}, {_NORM}, {_WINDOWS}, {_KEYED}"
+
+
+@_query(f"{_CLASSES} select key, n, count(*) as n_sequences, count(distinct container_id) as n_containers from keyed group by key, n")
+def window_classes(spark, d):
+    return _keyed(spark, d).groupBy("key", "n").agg(F.count("*").alias("n_sequences"), F.count_distinct("container_id").alias("n_containers"))
+
+
+_LINKS = """links as (select low as id1, container_id as id2, count(*) as n_windows from (select distinct key, container_id from keyed) join
+  (select key, min(container_id) as low from keyed group by key) using (key) where container_id <> low group by low, container_id)"""
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    rows = _keyed(spark, d).select("key", "container_id").distinct()
+    low = rows.groupBy("key").agg(F.min("container_id").alias("id1"), F.count("*").alias("n")).where("n > 1").select("key", "id1")
+    return rows.join(low, "key").where("container_id <> id1").groupBy("id1", F.col("container_id").alias("id2")).agg(F.count("*").alias("n_windows"))
+
+
+@_query(f"{_CLASSES}, {_LINKS} select id1, id2, n_windows from links")
+def exact_window_links(spark, d):
+    """Each document with the first one that shares a window: what connects all that share it, in one row a document and window."""
+    return _links(spark, d)
+
+
+_COMPONENTS = """, sides as (select id1 as a, id2 as b from links union select id2, id1 from links),
+  reach as (select a as node, a as seen from sides union select r.node, s.b from reach r join sides s on r.seen = s.a),
+  comps as (select node, min(seen) as component from reach group by node)"""
+
+
+@_query(f"{_CLASSES.replace('with ', 'with recursive ', 1)}, {_LINKS}{_COMPONENTS} select node, component from comps")
+def components(spark, d):
+    return connected_components(_links(spark, d))
+
+
+def _cluster_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    links = materialize(_links(spark, d), "links")
+    member = clustering.members(links.withColumn("overall", F.lit(1.0)))
+    return links.withColumn("overall", F.lit(1.0)), member, _bodies(spark, d).select(F.col("container_id").alias("id"), F.size("units").alias("n"))
+
+
+_CLUSTERS = f"""{_CLASSES.replace('with ', 'with recursive ', 1)}, {_LINKS}{_COMPONENTS}, sized as (select component as cluster_id, node, len(units) as n from comps join bodies on node = container_id),
+  totals as (select cluster_id, count(*) as n_members, sum(n) as total, min_by(node, (n, node)) as primary_id, min(n) as n_primary from sized group by cluster_id),
+  links_of as (select component as cluster_id, count(*) as n_pairs from links join comps on id1 = node group by component),
+  clusters as (select cluster_id, primary_id, n_members, n_pairs, greatest(0, total - n_primary - (n_members - 1) - 1)::bigint as loc_reduction, 1.0::double as avg_similarity from totals join links_of using (cluster_id))"""
+
+
+@_query(f"{_CLUSTERS} select cluster_id, primary_id, n_members, n_pairs, loc_reduction, avg_similarity from clusters")
+def cluster_primary_loc(spark, d):
+    links, member, sizes = _cluster_members(spark, d)
+    return clustering.summarize(member, sizes, links)
+
+
+@_query(f"{_CLUSTERS} select cluster_id, row_number() over (order by loc_reduction desc, n_members desc, primary_id)::int as place from clusters")
+def work_order(spark, d):
+    rows = cluster_primary_loc(spark, d).withColumn("strategy", F.lit("EXTRACT_HELPER_METHOD"))
+    return clustering.work_order(rows).select("cluster_id", "place")
+
+
+_SPLITS = f"{_CLUSTERS}, spots as (select cluster_id, source as file, count(*) as here from sized join documents on node = doc_id group by cluster_id, source having count(*) >= 2)"
+
+
+@_query(f"{_SPLITS} select cluster_id, file, coalesce(here, n_members) as n_members, coalesce(loc_reduction * here // n_members, loc_reduction)::bigint as loc_reduction from clusters left join spots using (cluster_id)")
+def clusters_by_file(spark, d):
+    """A source stands for a file."""
+    links, member, sizes = _cluster_members(spark, d)
+    rows = clustering.summarize(member, sizes, links)
+    files = tables.read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"))
+    return clustering.split_by_file(rows, member, files)
+
+
+# --- pairs and scores --------------------------------------------------------------------------------------------------
+
+_BLOCKS = f"""{_CLASSES}, classes as (select key, any_value(n) as n, any_value(win) as win from keyed group by key), firsts as (select n, win[1] as lead, min(key) as key1 from classes group by n, win[1]),
+  pairs as (select c.n, key1 as id1, c.key as id2, a.win as w1, c.win as w2 from classes c join firsts f on c.n = f.n and c.win[1] = f.lead and c.key <> f.key1 join classes a on a.key = f.key1)"""
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Window classes of one size with the same first unit, each with the first of them: equi-joins, one row a class."""
+    classes = _keyed(spark, d).groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("win").alias("win")).withColumn("lead", F.element_at("win", 1))
+    first = classes.groupBy("n", "lead").agg(F.min(F.struct(F.col("key").alias("id1"), F.col("win").alias("w1"))).alias("f"))
+    return classes.join(first, ["n", "lead"]).where(F.col("key") != F.col("f.id1")).select("n", "f.id1", F.col("key").alias("id2"), "f.w1", F.col("win").alias("w2"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.score_pairs(_pairs(spark, d), "w1", "w2")
+
+
+@_query(f"{_BLOCKS} select n, id1, id2 from pairs")
+def candidates_equal_size(spark, d):
+    return _pairs(spark, d).select("n", "id1", "id2")
+
+
+
+
+def _dp(kind: str) -> str:
+    """SQL of a dynamic programme over w1 and w2, by recursion over w1's units; each step makes a row of it."""
+    n = "len(w2)"
+    if kind == "lcs":
+        first, start = "list_transform(range(0, len(w2) + 1), lambda j: 0)", "[0]"
+        cell = "case when w1[i + 1] = w2[j[1]] then line[j[1]] + 1 else greatest(line[j[1] + 1], now[-1]) end"
+    else:
+        first, start = "list_transform(range(0, len(w2) + 1), lambda j: j::int)", "[(i + 1)::int]"
+        cell = "least(line[j[1] + 1] + 1, now[-1] + 1, line[j[1]] + case when w1[i + 1] = w2[j[1]] then 0 else 1 end)"
+    body = f"list_reduce(list_transform(range(1, {n} + 1), lambda k: [k::int]), lambda now, j: list_append(now, {cell}), {start})"
+    return f"""dp_{kind} as (select id1, id2, w1, w2, 0 as i, {first}::int[] as line from pairs union all
+      select id1, id2, w1, w2, i + 1, {body}::int[] from dp_{kind} where i < len(w1)), {kind} as (select id1, id2, line[-1] as v from dp_{kind} where i = len(w1))"""
+
+
+_REC = _BLOCKS.replace("with ", "with recursive ", 1)
+_POS = "pos as (select id1, id2, len(list_filter(range(1, len(w1) + 1), lambda i: w1[i] = w2[i])) as v from pairs)"
+_SCORES = f"""{_REC}, {_dp('lcs')}, {_dp('lev')}, {_POS}, scores as (select p.n, p.id1, p.id2, a.v / p.n::double as lcs, 1 - b.v / p.n::double as lev, c.v / p.n::double as \"positional\"
+  from pairs p join lcs a using (id1, id2) join lev b using (id1, id2) join pos c using (id1, id2)),
+  scored as (select s.n, s.id1, s.id2, (s.lcs * 0.4) + (s.lev * 0.4) + (s.positional * 0.2) as overall from scores s)"""
+
+
+@_query(f"{_SCORES} select id1, id2, lcs from scores")
+def lcs(spark, d):
+    return _scored(spark, d).select("id1", "id2", "lcs")
+
+
+@_query(f"{_SCORES} select id1, id2, lev from scores")
+def levenshtein_units(spark, d):
+    return _scored(spark, d).select("id1", "id2", "lev")
+
+
+@_query(f"{_SCORES} select id1, id2, \"positional\" from scores")
+def positional(spark, d):
+    return _pairs(spark, d).select("id1", "id2", similarity.positional(F.col("w1"), F.col("w2")).alias("positional"))
+
+
+@_query(f"{_SCORES} select id1, id2, overall, overall >= 0.7::double as can_refactor from scored")
+def combined_score(spark, d):
+    return _scored(spark, d).select("id1", "id2", "overall", "can_refactor")
+
+
+@_query(f"{_SCORES} select id1, id2, overall from scored where overall >= 0.75::double")
+def threshold_pairs(spark, d):
+    return pairs.above(_scored(spark, d), _SET.threshold).select("id1", "id2", "overall")
+
+
+_LINE_PAIRS = """lined as (select doc_id, source, length(text) - length(replace(text, chr(10), '')) + 1 as n from documents where text is not null),
+  lead as (select source, min_by(doc_id, (n, doc_id)) as id1, min(n) as n1 from lined group by source), linepairs as (select id1, doc_id as id2, n1, n as n2 from lined join lead using (source) where doc_id <> id1)"""
+
+
+def _line_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with its source's shortest one, by lines."""
+    docs = tables.read_table(spark, d, "documents").where("text is not null").select("doc_id", "source", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n"))
+    first = docs.groupBy("source").agg(F.min(F.struct("n", "doc_id")).alias("f"))
+    return docs.join(first, "source").where("doc_id <> f.doc_id").select(F.col("f.doc_id").alias("id1"), F.col("doc_id").alias("id2"), F.col("f.n").alias("n1"), F.col("n").alias("n2"))
+
+
+@_query(f"with {_LINE_PAIRS} select id1, id2, (greatest(n1, n2) - least(n1, n2)) / greatest(n1, n2)::double <= 0.3::double as passes from linepairs")
+def size_filter(spark, d):
+    return _line_pairs(spark, d).select("id1", "id2", pairs.size_filter(F.col("n1"), F.col("n2"), _SET.size_ratio).alias("passes"))
+
+
+@_query(f"{_BLOCKS} select id1, id2 from pairs where len(list_filter(range(1, len(w1) + 1), lambda i: w1[i] = w2[i])) / n::double >= 0.5::double")
+def structural_filter(spark, d):
+    return _pairs(spark, d).where(pairs.structural_filter(F.col("w1"), F.col("w2"), _SET.prefilter)).select("id1", "id2")
+
+
+_OVERLAP = f"""{_CLASSES}, nexts as (select container_id, start_offset as s1, start_offset + n - 1 as e1, lead(start_offset, 7) over w as s2, lead(start_offset + n - 1, 7) over w as e2 from keyed window w as (partition by container_id order by start_offset))"""
+
+
+@_query(f"{_OVERLAP} select container_id, s1, s2, s1 <= e2 and s2 <= e1 as overlap from nexts where s2 is not null")
+def overlap_predicate(spark, d):
+    """Each window with the one seven starts on."""
+    w = Window.partitionBy("container_id").orderBy("start_offset")
+    end = F.col("start_offset") + F.col("n") - 1
+    rows = windows.maximal(_bodies(spark, d)).select("container_id", "start_offset", "n").select("container_id", F.col("start_offset").alias("s1"), end.alias("e1"), F.lead("start_offset", 7).over(w).alias("s2"), F.lead(end, 7).over(w).alias("e2")).where("s2 is not null")
+    box = F.col("container_id")
+    return rows.select("container_id", "s1", "s2", pairs.overlaps(box, box, box, box, F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")).alias("overlap"))
+
+
+@_query(f"{_BLOCKS} select id1, id2, i - 1 as pos, w1[i] as v1, w2[i] as v2 from pairs, unnest(range(1, len(w1) + 1)) as t(i) where w1[i] <> w2[i]")
+def variation_positions(spark, d):
+    rows = _pairs(spark, d).select("id1", "id2", F.explode(variation.differences(F.col("w1"), F.col("w2"))).alias("x"))
+    return rows.select("id1", "id2", "x.pos", "x.v1", "x.v2")
+
+
+@_query(f"{_BLOCKS} select id1, i - 1 as pos, count(*) as n_members, count(distinct w2[i]) as n_values, min_by(w2[i], id2) as first_value from pairs, unnest(range(1, len(w1) + 1)) as t(i) where w1[i] <> w2[i] group by id1, i")
+def variation_aggregate(spark, d):
+    return variation_positions(spark, d).groupBy("id1", "pos").agg(F.count("*").alias("n_members"), F.count_distinct("v2").alias("n_values"), F.min_by("v2", "id2").alias("first_value"))
+
+
+_STRATEGY = f"""{_CLUSTERS}, traits as (select cluster_id, count(distinct source) as files, bool_and(n > 10) as full_bodies, bool_and(toxic = 0) as calm from sized join documents on node = documents.doc_id left join labels on labels.doc_id = node group by cluster_id),
+  plans as (select cluster_id, n_members, loc_reduction, case when files > 1 and not full_bodies then 'EXTRACT_HELPER_METHOD' when files > 1 then 'EXTRACT_PARENT_CLASS' else 'EXTRACT_HELPER_METHOD' end as strategy from clusters join traits using (cluster_id))"""
+
+
+def _plans(spark: SparkSession, d: str) -> DataFrame:
+    links, member, sizes = _cluster_members(spark, d)
+    rows = clustering.summarize(member, sizes, links)
+    docs = tables.read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
+    traits = member.join(docs, "id").join(sizes, "id").groupBy("cluster_id").agg(F.count_distinct("source").alias("files"), F.bool_and(F.col("n") > 10).alias("full"))
+    no, one = F.lit(False), F.lit(0)
+    kind = variation.strategy(no, no, no, F.col("files") > 1, F.col("full"), no, no, F.col("n_members"), no, one)
+    return rows.join(traits, "cluster_id").withColumn("strategy", kind)
+
+
+@_query(f"{_STRATEGY} select cluster_id, strategy from plans")
+def strategy(spark, d):
+    """Containers of text are neither tests, constructors nor static; a source stands for a file."""
+    return _plans(spark, d).select("cluster_id", "strategy")
+
+
+@_query(f"{_SCORES} select id1, (case when count(*) > 5 then 0.7::double else 1.0::double end) * (case when avg(overall) < 0.85::double then 0.8::double else 1.0::double end) as confidence from scored group by id1")
+def confidence(spark, d):
+    rows = _scored(spark, d).groupBy("id1").agg(F.count("*").alias("n"), F.avg("overall").alias("s"))
+    return rows.select("id1", variation.confidence(F.col("n"), F.col("s"), F.lit(0), F.lit(-1)).alias("confidence"))
+
+
+# --- reports -------------------------------------------------------------------------------------------------------------
+
+_FILES = f"""{_CLASSES}, {_LINKS}, filed as (select a.source as file1, b.source as file2, id1, id2, n_windows::double as overall from links join documents a on a.doc_id = id1 join documents b on b.doc_id = id2),
+  each as (select file1 as file, id1, id2, overall from filed union all select file2, id1, id2, overall from filed where file1 <> file2)"""
+
+
+def _filed(spark: SparkSession, d: str) -> DataFrame:
+    docs = tables.read_table(spark, d, "documents").select("doc_id", "source")
+    rows = _links(spark, d)
+    for k in (1, 2):
+        rows = rows.join(docs.select(F.col("doc_id").alias(f"id{k}"), F.col("source").alias(f"file{k}")), f"id{k}")
+    return rows.withColumn("overall", F.col("n_windows").cast("double"))
+
+
+@_query(f"{_FILES} select file, id1, id2, overall from each")
+def cross_file_pairs(spark, d):
+    return pairs.by_file(_filed(spark, d)).select("file", "id1", "id2", "overall")
+
+
+_REPORT = f"{_FILES}, report as (select source as file, coalesce(duplicates, 0) as duplicates, coalesce(avg_similarity, 0.0)::double as avg_similarity from (select distinct source from documents) left join (select file, count(*) as duplicates, avg(overall) as avg_similarity from each group by file) on source = file)"
+
+
+@_query(f"{_REPORT} select file, duplicates, avg_similarity from report")
+def file_report(spark, d):
+    files = tables.read_table(spark, d, "documents").select(F.col("source").alias("file"))
+    return reports.file_report(files, _filed(spark, d))
+
+
+@_query(f"{_REPORT} select count(*) as total_files, sum(duplicates)::bigint as duplicates, round(sum(avg_similarity * duplicates) / sum(duplicates), 6) as avg_similarity from report")
+def project_metrics(spark, d):
+    return reports.project_metrics(file_report(spark, d)).withColumn("avg_similarity", F.round("avg_similarity", 6))
+
+
+@_query(f"{_FILES} select file, id1, id2, overall, place::int as place from (select *, row_number() over (partition by file order by overall desc, id1, id2) as place from each) where place <= 10")
+def top10_per_file(spark, d):
+    return reports.top_pairs(pairs.by_file(_filed(spark, d)).select("file", "id1", "id2", "overall"))
+
+
+@_query(f"{_REPORT} select file, file || ',' || duplicates || ',' || printf('%.2f', avg_similarity) as line from report")
+def csv_report(spark, d):
+    return reports.csv_lines(file_report(spark, d))
+
+
+@_query(f"""{_REPORT} select file, '{{"project":"text","file":"' || file || '","duplicates":' || duplicates || '}}' as json from report where duplicates > 0""")
+def json_report(spark, d):
+    return reports.json_report(file_report(spark, d).drop("avg_similarity"), "text")
+
+
+@_query("select doc_id, source from documents where source in ('src1', 'src7') or starts_with(source, 'src1.') or starts_with(source, 'src7.') or starts_with(source, 'src1$') or starts_with(source, 'src7$')")
+def target_filter(spark, d):
+    docs = tables.read_table(spark, d, "documents")
+    return docs.where(tables.targeted(F.col("source"), "src1, src7")).select("doc_id", "source")
+
+
+@_query(r"select page_id, regexp_matches(url, '^(.*/)?[^/]*1[^/]*$') or regexp_matches(url, '^https://(.*/)?[^/]*$') as out from pages")
+def glob_exclude(spark, d):
+    return tables.read_table(spark, d, "pages").select("page_id", tables.excluded(F.col("url"), ("**/*1*", "https://**/*")).alias("out"))
+
+
+_GRAMS = r"""list_distinct(list_transform(range(1, len({0}) - 6), lambda i: array_to_string({0}[i : i + 7], ' ')))"""
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda x: x <> '')"
+_BENCH = f"""with d as (select doc_id, unnest({_GRAMS.format('w')}) as g from (select doc_id, {_WORDS} as w from documents) where len(w) >= 8),
+  b as (select item_id, unnest({_GRAMS.format('w')}) as g from (select item_id, {_WORDS} as w from benchmark) where len(w) >= 8)"""
+
+
+def _grams(df: DataFrame, key: str) -> DataFrame:
+    rows = df.select(key, norm.tokens(F.col("text")).alias("w")).where(F.size("w") >= 8)
+    return rows.select(key, F.explode_outer(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " ")))).alias("g"))
+
+
+@_query(f"{_BENCH} select doc_id, item_id, count(*) as n_shared from d join b using (g) group by doc_id, item_id")
+def benchmark_contamination(spark, d):
+    """Documents and benchmark items that share runs of eight words."""
+    docs, items = tables.read_table(spark, d, "documents"), tables.read_table(spark, d, "benchmark")
+    return _grams(docs, "doc_id").join(_grams(items, "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+
+
+# --- the analysis end to end: signatures of the fast kind and sequential choices have no SQL -----------------------------------
+
+
+@_query()
+def analysis_pairs(spark, d):
+    """Near-duplicate pairs of window classes, by fast signatures, scored over whole windows."""
+    return analysis.analyse(_bodies(spark, d)).scored
 
 
-def queries() -> dict:
-    return {}
+@_query()
+def analysis_clusters(spark, d):
+    return analysis.analyse(_bodies(spark, d)).clusters
 
 
-def oracle_sql() -> dict:
-    return {}
+@_query()
+def non_overlapping_pairs(spark, d):
+    return analysis.chosen_pairs(analysis.analyse(_bodies(spark, d)))
