@@ -16,7 +16,7 @@ from reprise.storage import materialize
 @dataclass
 class Analysis:
     sequences: DataFrame  # seq_id, container_id, start_offset, n, class_id
-    classes: DataFrame  # class_id (the smallest seq_id), n, norm, fuzzy, count
+    classes: DataFrame  # class_id (the seq_id of the first by place), n, norm, fuzzy, count
     scored: DataFrame  # id1, id2 (class ids), lcs, lev, positional, overall
     members: DataFrame  # cluster_id, id (class ids)
     clusters: DataFrame
@@ -41,7 +41,7 @@ def analyse(bodies: DataFrame, settings: Settings | None = None) -> Analysis:
     """
     s = settings or Settings()
     seqs = materialize(sequence_table(bodies, s).withColumn("key", windows.window_key(F.col("norm"))), "sequences")
-    classes = materialize(seqs.groupBy("key").agg(F.min("seq_id").alias("class_id"), F.count("*").alias("count"), F.first("n").alias("n"), F.first("norm").alias("norm")), "classes")
+    classes = materialize(seqs.groupBy("key").agg(F.min_by("seq_id", F.struct("container_id", "start_offset", "n")).alias("class_id"), F.count("*").alias("count"), F.first("n").alias("n"), F.first("norm").alias("norm")), "classes")
     if s.enable_lsh:
         buckets = lsh.bucket_rows(classes, "class_id", "norm", s.bands, s.rows_per_band)
         sized = buckets.join(classes.select("class_id", "n"), "class_id").withColumn("bucket", F.xxhash64("bucket", "n")).drop("n")
