@@ -31,6 +31,14 @@ def with_features(docs: DataFrame, *keep: str) -> DataFrame:
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
 
 
+def sample(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """The ``most`` rows with the smallest hashes of doc_id. A first cut by hash leaves about a quarter more, so that little is sorted."""
+    share = min(1.0, 1.25 * most / max(1, rows.count()) + 1e-6)
+    h = F.xxhash64("doc_id", F.lit(seed))
+    low = rows if share == 1.0 else rows.where(h < F.lit(int((share - 0.5) * (1 << 64))).cast("long"))
+    return low.orderBy(h, "doc_id").limit(most)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int, max_labelled: int, max_unlabelled: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels (1, 0, or -1: not looked at) of at most so many rows outside fold 0.
 
@@ -41,9 +49,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, max_labelled:
     """
     inside = fold("doc_id", folds) != 0
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & inside).groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    ids = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_labelled).select("doc_id", "y")
+    ids = sample(known, max_labelled, 7).select("doc_id", "y")
     if max_unlabelled:
-        web = docs.where(F.col("doc_id").isNotNull() & inside).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(max_unlabelled)
+        web = sample(docs.where(F.col("doc_id").isNotNull() & inside).select("doc_id"), max_unlabelled, 11)
         ids = ids.unionByName(web.select("doc_id", F.lit(-1).alias("y")))
     # at most max_labelled + max_unlabelled ids of 12 bytes
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reprise.llm.labelled import sample
+
 # The patterns of the contract and their least lengths.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -72,7 +74,7 @@ def labelled_samples(docs: DataFrame, max_docs: int = 2000, made: int = 3000) ->
     documents (by the hash of their id), alone and joined in pairs; those with the fixed patterns' spans are left out.
     """
     spark = docs.sparkSession
-    ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(max_docs)
+    ids = sample(docs.where("doc_id is not null").select("doc_id"), max_docs, 3)
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull() & ~F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))
     names = picked.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value"))
     pairs = picked.select("doc_id", F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)).alias("a")).select("doc_id", F.explode(F.zip_with("a", F.slice(F.concat("a", F.array(F.lit("value"))), F.lit(2), F.greatest(F.lit(0), F.size("a"))), lambda x, y: F.concat(x, F.lit("_"), y))).alias("value"))
