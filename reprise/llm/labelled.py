@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reprise.llm.common import per_document
-from reprise.llm.docstats import features
+from reprise.llm.docstats import FEATURES, features
 
 
 def fold(doc_id: str, folds: int) -> Column:
@@ -56,5 +56,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, max_labelled:
     # at most max_labelled + max_unlabelled ids of 12 bytes
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
     found = with_features(picked, "doc_id", "y").groupBy("doc_id", "y").agg(F.min("features").alias("features")).orderBy("doc_id", "y").toPandas()
-    x = np.array(found["features"].tolist(), float).reshape(len(found), -1)
+    x = np.array(found["features"].tolist(), float).reshape(len(found), len(FEATURES))
     return x, found["y"].to_numpy(int)
