@@ -46,10 +46,10 @@ def oracle_sql() -> dict[str, str]:
 
 _SPLIT = r"list_filter(regexp_split_to_array({0}, '[.!?]+[ \t\r\n]+|\n+'), lambda x: regexp_replace(x, '[ \t\r\n]', '', 'g') <> '')"
 _BODIES = f"bodies as (select doc_id as container_id, {_SPLIT.format('text')} as units from documents)"
-_UNITS = "units as (select container_id, i - 1 as unit_idx, units[i] as text from bodies, unnest(range(1, len(units) + 1)) as t(i))"
+_UNITS = "units as (select container_id, (i - 1)::int as unit_idx, units[i] as text from bodies, unnest(range(1, len(units) + 1)) as t(i))"
 _FUZZY = r"regexp_replace(lower(regexp_replace({0}, '(?s)/\*.*?\*/', '', 'g')), '[0-9]+', 'NUM_LIT', 'g')"
 _NORM = f"normed as (select container_id, list_transform(units, lambda u: {_FUZZY.format('u')}) as units from bodies)"
-_WINDOWS = """wins as (select container_id, s as start_offset, least(10, len(units) - s) as n, units[s + 1 : s + least(10, len(units) - s)] as win
+_WINDOWS = """wins as (select container_id, s::int as start_offset, least(10, len(units) - s)::int as n, units[s + 1 : s + least(10, len(units) - s)] as win
   from normed, unnest(range(0, len(units) - 4)) as t(s) where len(units) >= 5)"""
 _KEYED = "keyed as (select container_id, start_offset, n, win, md5(array_to_string(win, chr(1))) as key from wins)"
 
@@ -91,13 +91,13 @@ def windows_maximal(spark, d):
     return windows.maximal(_bodies(spark, d)).select("container_id", "start_offset", "n", windows.window_key(F.col("window")).alias("key"))
 
 
-@_query(f"""with {_BODIES} select container_id, s as start_offset, n, md5(array_to_string(units[s + 1 : s + n], chr(1))) as key
+@_query(f"""with {_BODIES} select container_id, s::int as start_offset, n::int as n, md5(array_to_string(units[s + 1 : s + n], chr(1))) as key
   from bodies, unnest(range(0, len(units) - 4)) as t(s), unnest(range(5, least(10, len(units) - s) + 1)) as u(n) where len(units) >= 5""")
 def windows_limited(spark, d):
     return windows.limited(_bodies(spark, d)).select("container_id", "start_offset", "n", windows.window_key(F.col("window")).alias("key"))
 
 
-@_query(f"with {_BODIES} select container_id, len(units) as n, md5(array_to_string(units, chr(1))) as key from bodies where len(units) > 10")
+@_query(f"with {_BODIES} select container_id, len(units)::int as n, md5(array_to_string(units, chr(1))) as key from bodies where len(units) > 10")
 def windows_full_body(spark, d):
     return windows.full_bodies(_bodies(spark, d)).select("container_id", "n", windows.window_key(F.col("window")).alias("key"))
 
@@ -131,7 +131,7 @@ def _shingles(spark: SparkSession, d: str) -> DataFrame:
     return _tokens(spark, d).select("doc_id", lsh.shingles(F.col("tokens")).alias("shingles"))
 
 
-@_query(f"with {_TOKENS} select doc_id, len(tokens) as n_tokens, md5(array_to_string(tokens, ' ')) as tokens_md5 from tok")
+@_query(f"with {_TOKENS} select doc_id, len(tokens)::int as n_tokens, md5(array_to_string(tokens, ' ')) as tokens_md5 from tok")
 def tokens(spark, d):
     return _tokens(spark, d).select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
@@ -375,13 +375,13 @@ def overlap_predicate(spark, d):
     return rows.select("container_id", "s1", "s2", pairs.overlaps(box, box, box, box, F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")).alias("overlap"))
 
 
-@_query(f"{_BLOCKS} select id1, id2, i - 1 as pos, w1[i] as v1, w2[i] as v2 from pairs, unnest(range(1, len(w1) + 1)) as t(i) where w1[i] <> w2[i]")
+@_query(f"{_BLOCKS} select id1, id2, (i - 1)::int as pos, w1[i] as v1, w2[i] as v2 from pairs, unnest(range(1, len(w1) + 1)) as t(i) where w1[i] <> w2[i]")
 def variation_positions(spark, d):
     rows = _pairs(spark, d).select("id1", "id2", F.explode(variation.differences(F.col("w1"), F.col("w2"))).alias("x"))
     return rows.select("id1", "id2", "x.pos", "x.v1", "x.v2")
 
 
-@_query(f"{_BLOCKS} select id1, i - 1 as pos, count(*) as n_members, count(distinct w2[i]) as n_values, min_by(w2[i], id2) as first_value from pairs, unnest(range(1, len(w1) + 1)) as t(i) where w1[i] <> w2[i] group by id1, i")
+@_query(f"{_BLOCKS} select id1, (i - 1)::int as pos, count(*) as n_members, count(distinct w2[i]) as n_values, min_by(w2[i], id2) as first_value from pairs, unnest(range(1, len(w1) + 1)) as t(i) where w1[i] <> w2[i] group by id1, i")
 def variation_aggregate(spark, d):
     return variation_positions(spark, d).groupBy("id1", "pos").agg(F.count("*").alias("n_members"), F.count_distinct("v2").alias("n_values"), F.min_by("v2", "id2").alias("first_value"))
 
