@@ -6,6 +6,7 @@ words in order. Each task encodes a word once and then looks it up; the table is
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
 from reprise.llm.common import words_of
@@ -24,15 +25,51 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Below this, text is composed as the normaliser would have it, and lower case goes letter by letter.
+_PLAIN = "\u0250"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on, in order."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+
+
+_LETTERS = _byte_letters()
+
+
+def _lowered(word: str) -> str | None:
+    """The word as the normaliser leaves it, if it is one run of plain letters; else None."""
+    if word.isalpha() and max(word) < _PLAIN:
+        low = word.lower()
+        if low.isalpha():
+            return low
+    return None
+
+
 def _parts(word: bytes) -> tuple[bytes, bytes]:
     """A word as (core, marks at its end): the splitter cuts there if the core ends with a letter or digit.
 
-    Lower case is safe ahead of the normaliser for ASCII alone; elsewhere composition comes first.
+    Lower case is safe ahead of the normaliser for ASCII and plain letters; elsewhere composition comes first.
     """
+    if b"<|" in word or b"|>" in word:
+        return word, b""
     core = word.rstrip(_MARKS)
-    if core and len(core) < len(word) and b"<|" not in word and b"|>" not in word and core.decode()[-1].isalnum():
-        return (core.lower() if core.isascii() else core), word[len(core) :]
-    return (word.lower() if word.isascii() and b"<|" not in word else word), b""
+    if not core:
+        return b"", word
+    if core.isascii():
+        return (core.lower(), word[len(core) :]) if core[-1:].isalnum() else (word.lower() if word.isascii() else word, b"")
+    text = core.decode()
+    low = _lowered(text)
+    if low:
+        return low.encode(), word[len(core) :]
+    return (core, word[len(core) :]) if text[-1].isalnum() else (word, b"")
+
+
+def vocabulary_size(vocabulary: str | None = None) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary or default_vocabulary()).get_vocab_size()
 
 
 def encoder(vocabulary: str | None = None) -> Callable[[list[str | None]], list[bytes]]:
@@ -40,7 +77,6 @@ def encoder(vocabulary: str | None = None) -> Callable[[list[str | None]], list[
 
     For a vocabulary whose splitter keeps white space apart (see above). The table lives as long as the worker.
     """
-    import numpy as np
     from tokenizers import Tokenizer
 
     name = vocabulary or default_vocabulary()
@@ -48,19 +84,33 @@ def encoder(vocabulary: str | None = None) -> Callable[[list[str | None]], list[
         _TABLES[name] = (Tokenizer.from_file(name), {}, {})
     tokenizer, table, cores = _TABLES[name]
 
+    merge = tokenizer.model.tokenize
+
+    def ids_of(parts: list[bytes]) -> list[bytes]:
+        out, whole = [], []
+        for k, p in enumerate(parts):
+            text = p.decode()
+            if text == _lowered(text) or not p.strip(_MARKS):  # one run of letters or marks: the splitter has nothing to do
+                out.append(array("I", [t.id for t in merge(p.decode("latin-1").translate(_LETTERS))]).tobytes())
+            else:
+                out.append(b"")
+                whole.append(k)
+        for at in range(0, len(whole), 4096):
+            some = whole[at : at + 4096]
+            for k, e in zip(some, tokenizer.encode_batch_fast([parts[k].decode() for k in some], add_special_tokens=False), strict=True):
+                out[k] = array("I", e.ids).tobytes()
+        return out
+
     def encode(texts: list[str | None]) -> list[bytes]:
         for held in (table, cores):
             if len(held) > TABLE_WORDS:
                 held.clear()
         split = [words_of(t) for t in texts]
-        new = {w: _parts(w) for words in split for w in words if w not in table}
+        new = {w: _parts(w) for w in set().union(*split) if w not in table}
         missing = list({p for parts in new.values() for p in parts if p and p not in cores})
-        passing = {b"": b""}
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for p, e in zip(part, tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                (cores if len(p) <= TABLE_BYTES else passing)[p] = np.array(e.ids, "<u4").tobytes()
-        long = {}
+        passing, long = {b"": b""}, {}
+        for p, ids in zip(missing, ids_of(missing), strict=True):
+            (cores if len(p) <= TABLE_BYTES else passing)[p] = ids
         for w, (a, b) in new.items():
             (table if len(w) <= TABLE_BYTES else long)[w] = (cores.get(a) or passing.get(a, b"")) + (cores.get(b) or passing.get(b, b""))
         if long:
