@@ -1,7 +1,7 @@
 """Token ids in binary shards with a keyed index.
 
-A shard is two files: raw ids (unsigned 32-bit, little-endian, documents one after the other) and an index, in
-which a minimal perfect hash takes a document's key to a slot holding a fingerprint of the key, the document's offset and
+A shard is two files: raw ids (unsigned, little-endian, documents one after the other; 16 bits each where the
+vocabulary has at most 65,536 ids, else 32) and an index, in which a minimal perfect hash takes a document's key to a slot holding a fingerprint of the key, the document's offset and
 its length in ids. Shards follow ascending doc_id, nulls first; rows of one id follow by text. A key is (doc_id, its how-manieth row).
 
 Each task attempt writes files of its own names; the manifest lists those of the attempts that Spark committed, so
@@ -51,10 +51,11 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None) -> DataFrame:
     """Encode every text of ``docs`` (doc_id, text), each followed by END_ID, into shards under ``path``.
 
-    Returns the manifest: shard, first_id, n_docs, n_tokens, payload, index, start (ids in all shards before).
+    Returns the manifest: shard, first_id, n_docs, n_tokens, width (bytes an id), payload, index, start (ids in all shards before).
     A null text is an empty one; an empty table gives an empty manifest.
     """
-    schema = "shard int, first_id long, n_docs long, n_tokens long, payload string, index string"
+    schema = "shard int, first_id long, n_docs long, n_tokens long, width int, payload string, index string"
+    width = 2 if tokens.vocabulary_size(vocabulary) <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -72,7 +73,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None) -> Data
                 got = rows.column("doc_id").to_pylist()
                 more, last = _nth(got, last)
                 coded = [x + end for x in encode(rows.column("text").to_pylist())]
-                out.write(b"".join(coded))
+                out.write(np.frombuffer(b"".join(coded), "<u4").astype(f"<u{width}").tobytes())
                 ids.append(np.array([_NULL if x is None else x for x in got], np.int64))
                 nth.append(np.array([2 * n + (x is None) for n, x in zip(more, got, strict=True)], np.int64))
                 lengths.append(np.array([len(x) // 4 for x in coded], np.int64))
@@ -89,7 +90,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None) -> Data
             f.write(mph.dump({"sizes": table.sizes, "bits": np.packbits(table.bits), "rest": table.rest, "prints": _prints(keys)[order], "offsets": starts[order], "lengths": lengths[order]}))
         yield pa.RecordBatch.from_pydict({
             "shard": pa.array([shard], pa.int32()), "first_id": pa.array([int(ids[0])], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()),
-            "n_tokens": pa.array([int(lengths.sum())], pa.int64()), "payload": [f"{path}/{name}.ids"], "index": [f"{path}/{name}.idx"],
+            "n_tokens": pa.array([int(lengths.sum())], pa.int64()), "width": pa.array([width], pa.int32()), "payload": [f"{path}/{name}.ids"], "index": [f"{path}/{name}.idx"],
         })
 
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -103,7 +104,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None) -> Data
 class Shard:
     """Keyed access to one shard: the index is held, ids are read from the payload when asked for."""
 
-    def __init__(self, payload: str, index: str):
+    def __init__(self, payload: str, index: str, width: int):
         store, at = _open(index)
         with store.open_input_file(at) as f:
             a = mph.load(f.read())
@@ -111,7 +112,7 @@ class Shard:
         self.table = mph.PerfectHash(a["sizes"], np.unpackbits(a["bits"], count=n).astype(bool), a["rest"])
         self.prints, self.offsets, self.lengths = a["prints"], a["offsets"], a["lengths"]
         store, at = _open(payload)
-        self.file = store.open_input_file(at)
+        self.file, self.width = store.open_input_file(at), width
 
     def find(self, ids: list[int | None], nth: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(offset, length) in ids of each key; -1 where the fingerprint says that the shard hasn't got it."""
@@ -125,7 +126,9 @@ class Shard:
         return offsets, lengths
 
     def read(self, offset: int, length: int) -> bytes:
-        return self.file.read_at(4 * length, 4 * offset)
+        """The ids as unsigned 32-bit integers, whatever their width in the file."""
+        raw = self.file.read_at(self.width * length, self.width * offset)
+        return np.frombuffer(raw, f"<u{self.width}").astype("<u4").tobytes()
 
     def close(self) -> None:
         self.file.close()
@@ -161,7 +164,7 @@ def read_ids(keys: DataFrame, manifest: DataFrame) -> DataFrame:
                     if held is None or held[0] != shard:
                         if held:
                             held[1].close()
-                        held = (shard, Shard(shards[shard]["payload"], shards[shard]["index"]))
+                        held = (shard, Shard(*(shards[shard][k] for k in ("payload", "index", "width"))))
                     pairs = [(x, i) for x, n in zip(rows["doc_id"][k:end], rows["n"][k:end], strict=True) for i in range(n)]
                     offsets, lengths = held[1].find([x for x, _ in pairs], [i for _, i in pairs])
                     for (x, _), o, n in zip(pairs, offsets.tolist(), lengths.tolist(), strict=True):
