@@ -18,15 +18,18 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v) with v < u, distinct. Returns edges of the same form after one star step."""
+    """edges: (u, v) with v < u, distinct. Returns edges of the same form after one star step.
+
+    The minima are written out: AQE splits a hot key of a join only where both sides come straight from a shuffle, not from an aggregate.
+    """
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
         # a node whose neighbours are all larger is its own minimum
         near = near.join(low, "u", "left").withColumn("m", F.coalesce("m", "u"))
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
         near = edges.join(low, "u")
         out = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
     return out.where("v < u").distinct()
@@ -45,7 +48,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        state = materialize(_step(_step(state, True), False), "stars")
+        state = materialize(_step(materialize(_step(state, True), "large"), False), "stars")
         now = _signature(state)
         if now == seen:
             break

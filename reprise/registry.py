@@ -215,7 +215,7 @@ _LINKS = """links as (select low as id1, container_id as id2, count(*) as n_wind
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
     rows = _keyed(spark, d).select("key", "container_id").distinct()
-    low = rows.groupBy("key").agg(F.min("container_id").alias("id1"), F.count("*").alias("n")).where("n > 1").select("key", "id1")
+    low = materialize(rows.groupBy("key").agg(F.min("container_id").alias("id1"), F.count("*").alias("n")).where("n > 1").select("key", "id1"), "low")
     return rows.join(low, "key").where("container_id <> id1").groupBy("id1", F.col("container_id").alias("id2")).agg(F.count("*").alias("n_windows"))
 
 
