@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,6 +131,21 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(vocabulary: DataFrame, most: int = TABLE_WORDS) -> pd.DataFrame:
+    """The most frequent words of at most TABLE_BYTES bytes, in order; as many whole steps of a fine scale of counts as hold at most ``most`` words.
+
+    The scale's histogram (at most 1024 rows) says where to cut, so no task and no driver sorts more than the words that stay.
+    """
+    short = vocabulary.where(F.octet_length("word") <= TABLE_BYTES).withColumn("step", F.floor(F.log2("c") * 16).cast("int"))
+    held, cut = 0, 1 << 30
+    for r in sorted(short.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        held += r["n"]
+        if held > most:
+            break
+        cut = r["step"]
+    return short.where(F.col("step") >= cut).select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+
+
 def count_pairs(docs: DataFrame, words: list[bytes]) -> np.ndarray:
     """Counts of neighbouring symbols over all rows; each text begins and ends with the end symbol. At most (words + SHAPES + 1)**2 rows reach the driver."""
     n = len(words) + SHAPES + 1
@@ -170,7 +186,7 @@ def fit(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES) ->
     ends = training.count()
     sums = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"] or 0) + ends, int(sums["v"]) + (ends > 0)
-    top = vocabulary.where(F.octet_length("word") <= TABLE_BYTES).orderBy(F.desc("c"), "word").limit(TABLE_WORDS).toPandas()
+    top = frequent(vocabulary)
     words = [w.encode() for w in top["word"]]
     own = min(clustered, len(words))
     grid = count_pairs(training, words[:own])
