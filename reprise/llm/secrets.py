@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reprise.llm.labelled import sample
+from reprise.storage import materialize
 
 # The patterns of the contract and their least lengths.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -75,7 +76,9 @@ def labelled_samples(docs: DataFrame, max_docs: int = 2000, made: int = 3000) ->
     """
     spark = docs.sparkSession
     ids = sample(docs.where("doc_id is not null").select("doc_id"), max_docs, 3)
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull() & ~F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))
+    # written out first, or the patterns would be tried on every document ahead of the join
+    picked = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "sample")
+    picked = picked.where(F.col("text").isNotNull() & ~F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))
     names = picked.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value"))
     pairs = picked.select("doc_id", F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)).alias("a")).select("doc_id", F.explode(F.zip_with("a", F.slice(F.concat("a", F.array(F.lit("value"))), F.lit(2), F.greatest(F.lit(0), F.size("a"))), lambda x, y: F.concat(x, F.lit("_"), y))).alias("value"))
     ordinary = names.unionByName(pairs).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n")).select("value", F.lit(False).alias("random"))
