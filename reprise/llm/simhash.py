@@ -168,7 +168,7 @@ def near_links(fps: DataFrame, radius: int = 4, parts: int = 3, block: int = 204
     """Links (a, b) between distinct values of ``fp``: enough of those within ``radius`` bits to connect whatever all of them connect."""
     spark = fps.sparkSession
     rows = _probes(fps.select("fp").distinct(), radius, parts)
-    hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    hot = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block), "hot")  # see components on why
     rows = rows.join(hot, "bucket", "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(block)).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -192,7 +192,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, parts: int
     linked = connected_components(near_links(fps, radius, parts, block))
     roots = firsts.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     roots = materialize(roots.select("fp", "root", "first"), "roots")
-    lowest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    lowest = materialize(roots.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
     owners = roots.join(lowest, "root").select("fp", "component_id")
     return fps.join(owners, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
