@@ -29,7 +29,7 @@ BLOCK = 128
 SHARD_SLOTS = 8192
 MOST_SHARDS = 65_536
 #: Documents of a source whose places are added up together.
-RUN = 20_000
+RUN = 4_000
 
 
 def share_out(sizes: list[int], weights: tuple = WEIGHTS, most: int = MOST_REPEATS) -> list[float]:
