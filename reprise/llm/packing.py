@@ -24,7 +24,7 @@ from reprise.storage import materialize
 
 LENGTH = 2048
 #: Pieces that are numbered together by one task.
-RUN = 50_000
+RUN = 10_000
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
