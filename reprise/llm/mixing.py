@@ -143,6 +143,7 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, seed
     placed = materialize(placed, "placed")
 
     times = spark.range(len(counts), numPartitions=max(1, min(len(counts), 4096))).mapInArrow(slots, "source_no int, block long").groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    times = times.hint("merge")  # or the planner would take the table for as small as the range of shards, and broadcast it
     cut = placed.where("size > 0").select("source_no", "begin", "size", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")).alias("block"))
     part_from = F.greatest(F.col("begin"), F.col("block") * block) - F.col("begin")
     part_to = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.col("begin")
@@ -160,7 +161,7 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, s
         return docs.select("doc_id", F.lit(0).cast("long").alias("size"), "source", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
     words = (F.col("part_to") - F.col("part_from")) * F.col("times")
     taken = plan.cut.join(plan.times, ["source_no", "block"]).groupBy("source_no", "begin").agg(F.sum(words).alias("taken"))
-    full = plan.placed.withColumn("at", F.when(F.col("size") > 0, F.col("begin"))).join(taken.withColumnRenamed("begin", "at"), ["source_no", "at"], "left")
+    full = plan.placed.withColumn("at", F.when(F.col("size") > 0, F.col("begin"))).join(taken.withColumnRenamed("begin", "at").hint("merge"), ["source_no", "at"], "left")
     return full.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -176,7 +177,7 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOC
         return docs
     parts = plan.cut.join(plan.times, ["source_no", "block"]).groupBy("source_no", "begin").agg(F.collect_list(F.struct("part_from", "part_to", "times")).alias("_parts"))
     same = Window.partitionBy("_id", "_key")
-    taken = plan.placed.where("size > 0").join(parts, ["source_no", "begin"]).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key"), "begin", "_parts")
+    taken = plan.placed.where("size > 0").join(parts.hint("merge"), ["source_no", "begin"]).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key"), "begin", "_parts")
     taken = taken.select("_id", "_key", F.row_number().over(same.orderBy("begin")).alias("_nth"), "_parts")
     # repeated rows are alike in id, source and text, so any of them may have any of the places
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("doc_id", "source", "text").alias("_key"), F.col("text").alias("_text"))
