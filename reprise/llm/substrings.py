@@ -167,14 +167,17 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
     each other's words. An empty table gives no rows.
     """
     survey = materialize(_survey(docs, window), "survey")
-    owners = survey.where("doc_id is not null").groupBy("words_sha256").agg(F.min("doc_id").alias("owner"))
-    copies = survey.where(F.col("n_words") >= window).join(owners, "words_sha256").where("doc_id <> owner").select("doc_id", "words_sha256").distinct()
+    # what hot keys meet is written out first: AQE splits a join's key only where both sides come straight from a shuffle
+    owners = materialize(survey.where("doc_id is not null").groupBy("words_sha256").agg(F.min("doc_id").alias("owner")), "owners")
+    rows = survey.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).select("doc_id", "words_sha256").distinct()
+    copies = materialize(materialize(rows, "long").join(owners, "words_sha256").where("doc_id <> owner").select("doc_id", "words_sha256"), "copies")
     whole = survey.where("doc_id is not null and size(leaders) > 0").join(copies, ["doc_id", "words_sha256"], "left_anti")
     lead = whole.select("doc_id", F.explode("leaders").alias("h"))
-    repeated = lead.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
+    lead = materialize(lead, "lead")
+    repeated = materialize(lead.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h"), "repeated")
     candidates = materialize(lead.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("leaders")), "leaders")
     windows = materialize(_full_windows(docs, candidates, window), "windows")
-    first = windows.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w", "low")
+    first = materialize(windows.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w", "low"), "first")
     marked = windows.join(first, "w").where("doc_id > low").groupBy("doc_id").agg(F.collect_set("w").alias("marks"))
     cut = materialize(_cut(docs, marked, window), "cut").dropDuplicates(["doc_id", "words_sha256"])
     gone = copies.select("doc_id", "words_sha256", F.lit(-1).cast("long").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept_text"))
