@@ -1,12 +1,13 @@
 """LM scoring by a class-based bigram model (Brown et al.), with classes found by exchange clustering.
 
-Counts come from all training documents: words (a grouped sum) and pairs of symbols (a bounded table). A symbol is one of the
-most frequent words, or, for any other word, its shape, or the end of a text. The exchange algorithm moves frequent words
-between classes while that raises the likelihood; shapes and the end are classes of their own. A text's probability is
-the product of class transitions and word emissions, both smoothed.
-
-The most frequent words are looked up in each task's own table, whose size is bounded. Any other word of a text goes through
-a join with the word counts; those words are rare by construction, so no key is hot.
+Counts come from all training documents. The exchange algorithm first moves the most frequent words between seed classes while
+that raises the likelihood. Then every word that occurs at least SEEN times, whatever their number, is counted by the seed
+classes (or shapes) of its neighbours, in a sparse table, and passes over that table move each to the class that gains most;
+the number of classes grows with the number of words. Words seen less often or never have their shape as class; the end of a
+text is a class of its own. A text's probability is the product of class transitions and word emissions, both smoothed.
+
+The most frequent words are looked up in each task's own table, whose size is bounded. Any other word of a text gets its count
+and class by a join with the table of all words; those words are rare by construction, so no key is hot.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from reprise.llm.labelled import fold
 from reprise.storage import materialize
 
 FOLDS, HELD_OUT = 7, 2
-#: Words that are clustered; classes for them; words in a task's table, and bytes of such a word, at most (12.8 MB in all).
+#: Words that seed classes, and the seed classes; words in a task's table, and bytes of such a word, at most (12.8 MB in all).
 CLUSTERED, CLASSES = 1024, 64
+#: Occurrences from which on a word is clustered; passes that move words before the last one; weight of the overall profile in a class's.
+SEEN, PASSES, PRIOR = 2, 3, 10.0
 TABLE_WORDS, TABLE_BYTES = 200_000, 64
 SHAPES = 32
 #: Smoothing of transitions and of emissions.
@@ -102,13 +105,14 @@ def exchange(pairs: np.ndarray, movable: int, classes: int, rounds: int = 12) ->
 class Model:
     words: bytes  # the table's words, joined by one space, most frequent first
     counts: np.ndarray
-    label: np.ndarray  # class of each symbol: clustered words, shapes, end
+    label: np.ndarray  # class of each symbol: the table's clustered words, shapes, end
     clustered: int
     transition: np.ndarray  # log10 by (class before, class)
     spread: np.ndarray  # by class: what its counts are divided by, log10
     total: int
     distinct: int
-    vocabulary: DataFrame  # (word, c) of all training words
+    vocabulary: DataFrame  # (word, c, cls) of all training words
+    coded: DataFrame  # all rows of the documents, their words replaced by classes
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -143,7 +147,7 @@ def frequent(vocabulary: DataFrame, most: int = TABLE_WORDS) -> pd.DataFrame:
         if held > most:
             break
         cut = r["step"]
-    return short.where(F.col("step") >= cut).select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+    return short.where(F.col("step") >= cut).select(*vocabulary.columns).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
 
 def count_pairs(docs: DataFrame, words: list[bytes]) -> np.ndarray:
@@ -179,56 +183,158 @@ def count_pairs(docs: DataFrame, words: list[bytes]) -> np.ndarray:
     return grid.reshape(n, n)
 
 
-def fit(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES) -> Model:
-    """The model of all rows of ``docs`` whose id isn't held out."""
-    training = docs.where(fold("doc_id", FOLDS) != HELD_OUT).select("text")
-    vocabulary = materialize(count_words(training), "words")
-    ends = training.count()
-    sums = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = int(sums["n"] or 0) + ends, int(sums["v"]) + (ends > 0)
-    top = frequent(vocabulary)
-    words = [w.encode() for w in top["word"]]
-    own = min(clustered, len(words))
-    grid = count_pairs(training, words[:own])
-    label = exchange(grid, own, min(classes, max(1, own)))
-    member = np.zeros((len(label), label.max() + 1))
-    member[np.arange(len(label)), label] = 1
-    counts = member.T @ grid @ member
-    k = counts.shape[0]
-    transition = np.log10((counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * k))
-    # distinct words by class: clustered words and the end are known here, shapes are counted over the vocabulary
-    kinds = np.bincount(label[:own], minlength=k).astype(float)
-    kinds[label[-1]] = 1
-
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"s": pa.array([shape(w.encode()) for w in b.column(0).to_pylist()], pa.int32())})
-
-    for r in vocabulary.select("word").mapInArrow(shapes, "s int").groupBy("s").agg(F.count("*").alias("v")).collect():
-        kinds[label[own + r["s"]]] += r["v"]
-    for w in words[:own]:  # these aren't in their shape's class
-        kinds[label[own + shape(w)]] -= 1
-    spread = np.log10(counts.sum(axis=0) + DELTA * (kinds + 1))
-    return Model(b" ".join(words), top["c"].to_numpy(np.int64), label, own, transition, spread, total, distinct, vocabulary), ends
+def count_neighbours(docs: DataFrame, words: list[bytes], label: np.ndarray) -> DataFrame:
+    """(word, c, near) of every word of ``docs``; near: int64 of (kind << 40) + count, by the kind of the word before (0 to X - 1) and after (X on).
 
+    ``words`` have their ``label`` as kind, other words their shape's, the end its own; X kinds in all.
+    """
+    own, kinds = len(words), int(label.max()) + 1
 
-def score(docs: DataFrame, fitted: tuple[Model, int]) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    model, ends = fitted
-    words, counts, label, own = model.words, model.counts, model.label, model.clustered
-    transition, spread = model.transition, model.spread
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed = {w: int(k) for w, k in zip(words, label, strict=False)}
+        of_shape = [int(k) for k in label[own:]]
+        table: dict = {None: 0}
+        kind, codes = [of_shape[-1]], [0]
+
+        def out():
+            s = np.array(codes, np.int64)
+            k = np.array(kind, np.int64)[s]
+            at = np.nonzero(s)[0]
+            key, n = np.unique(np.r_[s[at] * 2 * kinds + k[at - 1], s[at] * 2 * kinds + kinds + k[at + 1]], return_counts=True)
+            starts = np.r_[np.searchsorted(key, np.arange(1, len(table)) * 2 * kinds), len(key)]
+            near = ((key % (2 * kinds)) << 40) + n
+            rows = pa.Array.from_buffers(pa.binary(), len(table) - 1, [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(near.astype(np.int64))])
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in table if w is not None], pa.string()), rows], ["word", "near"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                for w in tokens_of(text.as_py()):
+                    c = table.get(w)
+                    if c is None:
+                        c = table[w] = len(table)
+                        kind.append(seed[w] if w in seed else of_shape[shape(w)])
+                    codes.append(c)
+                codes.append(0)
+                if len(codes) > 4 * _FLUSH or len(table) > _FLUSH:
+                    yield out()
+                    table, kind, codes = {None: 0}, kind[:1], [0]
+        if len(table) > 1:
+            yield out()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(names, parts):
+            first = [i for i, w in enumerate(names) if not i or names[i - 1] != w]
+            word = np.zeros(len(names), np.int64)
+            word[first[1:]] = 1
+            word = np.repeat(np.cumsum(word), [len(p) // 8 for p in parts])
+            flat = np.frombuffer(b"".join(parts), np.int64)
+            key, back = np.unique(word * 2 * kinds + (flat >> 40), return_inverse=True)
+            n = np.zeros(len(key), np.int64)
+            np.add.at(n, back, flat & ((1 << 40) - 1))
+            starts = np.r_[np.searchsorted(key, np.arange(len(first)) * 2 * kinds), len(key)]
+            k = key % (2 * kinds)
+            c = np.add.reduceat(np.where(k < kinds, n, 0), starts[:-1])  # one word before each
+            rows = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer((k << 40) + n)])
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i in first], pa.string()), pa.array(c), rows], ["word", "c", "near"])
+
+        names, parts = [], []
+        for batch in batches:
+            names += batch.column(0).to_pylist()
+            parts += batch.column(1).to_pylist()
+            cut = len(names)
+            while cut and names[cut - 1] == names[-1]:  # more of the last word may follow
+                cut -= 1
+            if cut:
+                yield out(names[:cut], parts[:cut])
+                names, parts = names[cut:], parts[cut:]
+        if names:
+            yield out(names, parts)
+
+    rows = docs.select("text").mapInArrow(run, "word string, near binary")
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(merged, "word string, c long, near binary")
+
+
+def _dense(near: list[bytes], width: int) -> np.ndarray:
+    """One row a word: its counts by kind of neighbour."""
+    flat = np.frombuffer(b"".join(near), np.int64)
+    out = np.zeros((len(near), width), np.float32)
+    out[np.repeat(np.arange(len(near)), [len(x) // 8 for x in near]), flat >> 40] = flat & ((1 << 40) - 1)
+    return out
+
+
+def _fit_of(profiles: np.ndarray) -> np.ndarray:
+    """What an occurrence next to each kind adds to a word's likelihood in each class: log (class's count by kind / class's count), smoothed."""
+    every = profiles.sum(axis=0) + 1e-3
+    size = profiles.sum(axis=1, keepdims=True)
+    return np.log((profiles + PRIOR * every / every.sum()) / (size + PRIOR)).astype(np.float32).T
+
+
+def assign(counted: DataFrame, words: list[bytes], label: np.ndarray, seeds: int) -> tuple[DataFrame, int]:
+    """((word, c, cls), number of classes): each word seen SEEN times or more in one of the classes, any other in its shape's, after them.
+
+    The seed classes and the most frequent words, as classes of their own, begin; there are as many classes as ``seeds`` times the
+    fourth root of how often as many words as the seeds' are clustered. Kinds of neighbours are fixed, so each pass raises the likelihood.
+    """
+    width = 2 * (int(label.max()) + 1)
+    often = counted.where(F.col("c") >= SEEN)
+    n = often.count()
+    classes = min(max(n, 1), round(seeds * max(1.0, n / max(1, len(words))) ** 0.25)) if n > len(words) else seeds
+    first = often.orderBy(F.desc("c"), "word").limit(max(len(words), classes - seeds)).collect()
+    profiles = np.zeros((classes, width))
+    if first:
+        rows, at = _dense([r["near"] for r in first], width), {w: k for w, k in zip(words, label, strict=False)}
+        for r, x in zip(first, rows, strict=True):
+            if r["word"].encode() in at:
+                profiles[at[r["word"].encode()]] += x
+        profiles[seeds:] = rows[: classes - seeds]
+
+    def best(near: list[bytes], fit_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = _dense(near, width)
+        return x, (x @ fit_).argmax(axis=1)
+
+    for _ in range(PASSES):
+        fit_ = _fit_of(profiles)
+
+        def run(batches: Iterator[pa.RecordBatch], fit_=fit_) -> Iterator[pa.RecordBatch]:
+            grid = np.zeros((classes, width))
+            for batch in batches:
+                x, cls = best(batch.column(0).to_pylist(), fit_)
+                np.add.at(grid, cls, x)
+            at = np.nonzero(grid.ravel())[0]
+            yield pa.RecordBatch.from_pydict({"at": pa.array(at), "n": pa.array(grid.ravel()[at])})
+
+        found = often.select("near").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        profiles = np.zeros(classes * width)
+        profiles[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+        profiles = profiles.reshape(classes, width)
+    last = _fit_of(profiles)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            cls = np.array([classes + shape(w.encode()) if k < SEEN else 0 for w, k in zip(names, c, strict=True)], np.int32)
+            at = np.nonzero(c >= SEEN)[0]
+            if len(at):
+                cls[at] = best(batch.column(2).take(pa.array(at)).to_pylist(), last)[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls)], ["word", "c", "cls"])
+
+    return materialize(counted.mapInArrow(name, "word string, c long, cls int"), "classes"), classes
+
+
+def code(docs: DataFrame, vocabulary: DataFrame, top: pd.DataFrame, ends: int, classes: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, base and emit (sums over its words and end), cls (int32, a class for each word)."""
+    words, counts, of_word = b" ".join(w.encode() for w in top["word"]), top["c"].to_numpy(np.int64), top["cls"].to_numpy(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         table = {w: i for i, w in enumerate(words.split())}
-        kinds = [label[i] if i < own else label[own + shape(w)] for w, i in table.items()]
-        kind = np.array([*kinds, label[-1]], np.int64)
         c = np.r_[counts, ends].astype(float)
         base, emit, known = np.log10(c + 1), np.log10(c + DELTA), c > 0
+        kind = np.r_[of_word, classes + SHAPES].astype(np.int32)
         last, uid = len(table), TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("uid", "n_tokens", "n_known", "base", "score", "rare")}
+            out: dict[str, list] = {k: [] for k in ("uid", "n_tokens", "n_known", "base", "emit", "cls", "rare")}
             for text in batch.column("text"):
                 tokens = tokens_of(text.as_py())
                 at = np.array([table.get(w, -1) for w in tokens] + [last], np.int64)
@@ -236,27 +342,107 @@ def score(docs: DataFrame, fitted: tuple[Model, int]) -> DataFrame:
                 rare = [tokens[i] for i in missing]
                 cls = kind[at]
                 if rare:
-                    cls[missing] = [label[own + shape(w)] for w in rare]
+                    cls[missing] = [-1 - shape(w) for w in rare]
                 found = at[at >= 0]
-                steps = transition[np.r_[label[-1], cls[:-1]], cls].sum() - spread[cls].sum()
-                values = (uid, len(tokens) + 1, int(known[found].sum()), base[found].sum(), steps + emit[found].sum(), [w.decode() for w in rare])
+                values = (uid, len(tokens) + 1, int(known[found].sum()), base[found].sum(), emit[found].sum(), cls[:-1].tobytes(), [w.decode() for w in rare])
                 for k, v in zip(out, values, strict=True):
                     out[k].append(v)
                 uid += 1
-            types = {"base": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.string())}
+            types = {"base": pa.float64(), "emit": pa.float64(), "cls": pa.binary(), "rare": pa.list_(pa.string())}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")} | {k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})
 
-    schema = "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base double, score double, rare array<string>"
+    def patch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The joined words' classes in place of their shapes'."""
+        for batch in batches:
+            made = []
+            for own, fix in zip(batch.column("cls").to_pylist(), batch.column("fix").to_pylist(), strict=True):
+                cls = np.frombuffer(own, np.int32).copy()
+                missing = np.nonzero(cls < 0)[0]
+                cls[missing] = classes - 1 - cls[missing]
+                if fix:
+                    f = np.array(fix, np.int64)
+                    cls[missing[f >> 32]] = f & 0xFFFFFFFF
+                made.append(cls.tobytes())
+            kept = [c for c in batch.schema.names if c not in ("cls", "fix")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.binary())], [*kept, "cls"])
+
+    schema = "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base double, emit double, cls binary, rare array<string>"
     rows = docs.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
     local = materialize(rows.mapInArrow(run, schema), "local")
-    rare = local.select("uid", F.explode("rare").alias("word")).join(model.vocabulary, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    more = rare.groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more_base"), F.sum(F.log10(F.col("c") + DELTA)).alias("more"), F.sum((F.col("c") > 0).cast("long")).alias("more_known"))
-    both = local.drop("rare").join(more, "uid", "left")
+    rare = local.select("uid", F.posexplode("rare").alias("j", "word")).join(vocabulary, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    place = F.when(F.col("cls") < classes, F.shiftleft(F.col("j").cast("long"), 32) + F.col("cls"))
+    more = rare.groupBy("uid").agg(
+        F.sum(F.log10(F.col("c") + 1)).alias("more_base"), F.sum(F.log10(F.col("c") + DELTA)).alias("more"), F.sum((F.col("c") > 0).cast("long")).alias("more_known"), F.collect_list(place).alias("fix")
+    )
     zero = F.lit(0.0)
-    score_ = F.col("score") + F.coalesce("more", zero)
-    return both.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero) - F.col("n_tokens") * F.log10(F.lit(float(model.total + model.distinct + 1)))).alias("base_score"),
+    both = local.drop("rare").join(more, "uid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("more_base", zero)).alias("base"),
+        (F.col("emit") + F.coalesce("more", zero)).alias("emit"), "cls", "fix",
+    )
+    return materialize(both.mapInArrow(patch, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emit double, cls binary"), "coded")
+
+
+def count_classes(coded: DataFrame, n: int) -> np.ndarray:
+    """Counts of neighbouring classes over all rows; each text begins and ends with the last class. At most n**2 rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, end = np.zeros(n * n, np.int64), np.array([n - 1], np.int32).tobytes()
+        for batch in batches:
+            s = np.frombuffer(end + b"".join(x + end for x in batch.column(0).to_pylist()), np.int32).astype(np.int64)
+            grid += np.bincount(s[:-1] * n + s[1:], minlength=n * n)
+        at = np.nonzero(grid)[0]
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(at), "c": pa.array(grid[at])})
+
+    found = coded.select("cls").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    grid = np.zeros(n * n, np.int64)
+    grid[found["pair"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)
+    return grid.reshape(n, n)
+
+
+def fit(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[Model, int]:
+    """The model of all rows of ``docs`` whose id isn't held out; ``clustered`` words seed at least ``classes`` classes. With the number of texts."""
+    training = docs.where(fold("doc_id", FOLDS) != HELD_OUT).select("text")
+    ends = training.count()
+    words = [r["word"].encode() for r in count_words(training).orderBy(F.desc("c"), "word").limit(clustered).collect()]
+    seeds = min(classes, max(1, len(words)))
+    label = exchange(count_pairs(training, words), len(words), seeds)
+    vocabulary, classes = assign(materialize(count_neighbours(training, words, label), "neighbours"), words, label, seeds)
+    sums = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    total, distinct = int(sums["n"] or 0) + ends, int(sums["v"]) + (ends > 0)
+    top = frequent(vocabulary)
+    own, k = int((top["c"] >= SEEN).sum()), classes + SHAPES + 1
+    coded = code(docs, vocabulary, top, ends, classes)
+    counts = count_classes(coded.where("not held_out"), k)
+    transition = np.log10((counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * k))
+    kinds = np.zeros(k)  # distinct words by class
+    kinds[-1] = 1
+    for r in vocabulary.groupBy("cls").agg(F.count("*").alias("v")).collect():
+        kinds[r["cls"]] = r["v"]
+    spread = np.log10(counts.sum(axis=0) + DELTA * (kinds + 1))
+    label = np.r_[top["cls"].to_numpy(np.int64)[:own], classes + np.arange(SHAPES + 1)]
+    return Model(b" ".join(w.encode() for w in top["word"]), top["c"].to_numpy(np.int64), label, own, transition, spread, total, distinct, vocabulary, coded), ends
+
+
+def score(fitted: tuple[Model, int]) -> DataFrame:
+    """Per row that the model has coded: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+    model, _ = fitted
+    transition, spread = model.transition, model.spread
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.array([len(spread) - 1], np.int32)
+        for batch in batches:
+            steps = []
+            for own in batch.column("cls").to_pylist():
+                cls = np.r_[last, np.frombuffer(own, np.int32), last]
+                steps.append(transition[cls[:-1], cls[1:]].sum() - spread[cls[1:]].sum())
+            kept = [c for c in batch.schema.names if c != "cls"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(steps, pa.float64())], [*kept, "steps"])
+
+    rows = model.coded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emit double, steps double")
+    score_ = F.col("steps") + F.col("emit")
+    return rows.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(model.total + model.distinct + 1)))).alias("base_score"),
         score_.alias("score"), F.pow(F.lit(10.0), -score_ / F.col("n_tokens")).alias("perplexity"),
     )
 
@@ -267,4 +453,4 @@ def score_texts(docs: DataFrame) -> DataFrame:
     A null text is an empty one: it has its end alone. A null id isn't held out; repeated rows count and score as often as
     they occur; without training text every count is zero; an empty table gives no rows.
     """
-    return score(docs, fit(docs))
+    return score(fit(docs))

@@ -128,6 +128,24 @@ def test_emissions_sum_to_one(spark):
     assert ends == sum(zlib.crc32(str(k).encode()) % 7 != 2 for k in range(30))
 
 
+def test_classes_grow_with_the_vocabulary(spark):
+    def fitted(stock):
+        rng = np.random.default_rng(stock)
+        texts = [" ".join(f"{'ab'[i % 2]}{rng.integers(rng.choice([8, stock]))}x" for i in range(400)) for _ in range(60)]
+        return brown.fit(data.documents(spark, list(enumerate(texts))), 20, 4)[0]
+
+    small, large = fitted(30), fitted(800)
+    for model in (small, large):
+        shaped = model.vocabulary.where(F.col("cls") >= len(model.spread) - brown.SHAPES - 1)
+        assert shaped.where("c > 1").count() == 0 and model.vocabulary.where("c > 1").count() == model.clustered
+    assert large.clustered > 1000 and len(large.spread) > len(small.spread)
+    sides = {}
+    for r in large.vocabulary.where("c > 5").collect():
+        sides.setdefault(r["cls"], []).append(r["word"][0])
+    pure = sum(max(x.count("a"), x.count("b")) for x in sides.values()) / sum(map(len, sides.values()))
+    assert pure > 0.9  # words that alternate are told apart, though one shape covers both
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(4)
     pairs = rng.poisson(1 + 20 * (np.arange(14)[:, None] % 2 != np.arange(14)[None] % 2), (14, 14))
