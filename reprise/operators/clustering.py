@@ -23,15 +23,20 @@ def summarize(member_rows: DataFrame, sequences: DataFrame, pairs: DataFrame, th
     """cluster_id, primary_id, n_members, n_pairs, loc_reduction, avg_similarity, most saving first.
 
     sequences: id, n and the columns that order locations (file, start_line, start_offset; those that are there). The primary is the first by location.
+    Where member_rows has count (sequences that a member stands for), n_sequences is their sum, savings are of all of them, and a
+    member that stands for several is a cluster by itself.
     """
+    weighed = "count" in member_rows.columns
     order = [F.coalesce(F.col(c), F.lit("") if kind == "string" else F.lit(0)) for c, kind in sequences.dtypes if c in ("file", "start_line", "start_col", "end_line", "end_col", "start_offset")]
     rows = member_rows.join(sequences.select("id", "n", F.struct(*order, "n", "id").alias("place")), "id")
-    size = rows.groupBy("cluster_id").agg(F.count("*").alias("n_members"), F.sum("n").alias("total"), F.min(F.struct("place", "id", "n")).alias("first"))
+    weight = F.col("count") if weighed else F.lit(1)
+    size = rows.groupBy("cluster_id").agg(F.count("*").alias("n_members"), F.sum(weight).alias("n_sequences"), F.sum(F.col("n") * weight).alias("total"), F.min(F.struct("place", "id", "n")).alias("first"))
     own = pairs.where(F.col("overall") >= threshold).join(member_rows.select(F.col("id").alias("id1"), "cluster_id"), "id1")
     score = own.groupBy("cluster_id").agg(F.count("*").alias("n_pairs"), F.avg("overall").alias("avg_similarity"))
-    out = size.where("n_members >= 2").join(score, "cluster_id", "left")
-    loc = saving(F.col("total"), F.col("first.n"), F.col("n_members"))
-    return out.select("cluster_id", F.col("first.id").alias("primary_id"), "n_members", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), loc.alias("loc_reduction"), F.coalesce("avg_similarity", F.lit(1.0)).alias("avg_similarity"))
+    out = size.where("n_sequences >= 2").join(score, "cluster_id", "left")
+    loc = saving(F.col("total"), F.col("first.n"), F.col("n_sequences"))
+    sequences_ = ["n_sequences"] if weighed else []
+    return out.select("cluster_id", F.col("first.id").alias("primary_id"), "n_members", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), loc.alias("loc_reduction"), F.coalesce("avg_similarity", F.lit(1.0)).alias("avg_similarity"), *sequences_)
 
 
 def in_order(clusters: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ class Analysis:
     sequences: DataFrame  # seq_id, container_id, start_offset, n, class_id
     classes: DataFrame  # class_id (the seq_id of the first by place), n, norm, fuzzy, count
     scored: DataFrame  # id1, id2 (class ids), lcs, lev, positional, overall
-    members: DataFrame  # cluster_id, id (class ids)
-    clusters: DataFrame
+    members: DataFrame  # cluster_id, id (class ids), count (sequences of the class)
+    clusters: DataFrame  # n_members counts classes, n_sequences their sequences, which loc_reduction is of
+    pairs: DataFrame  # scored, and each class of several sequences with itself at score 1; count1, count2: sequences of each side
 
 
 def sequence_table(bodies: DataFrame, settings: Settings) -> DataFrame:
@@ -37,7 +38,8 @@ def analyse(bodies: DataFrame, settings: Settings | None = None) -> Analysis:
     """Near-duplicate windows of all bodies (container_id, units).
 
     Equal windows are one class; candidates, scores and links are between classes, so copies cost one row each and
-    never meet in pairs. Classes of unequal sizes score 0, so size is part of the join.
+    never meet in pairs. Classes of unequal sizes score 0, so size is part of the join. A class of several sequences is linked
+    to itself at score 1, and is a cluster even without a near class; sequences.class_id says which sequences a class has.
     """
     s = settings or Settings()
     seqs = materialize(sequence_table(bodies, s).withColumn("key", windows.window_key(F.col("norm"))), "sequences")
@@ -53,9 +55,17 @@ def analyse(bodies: DataFrame, settings: Settings | None = None) -> Analysis:
     both = candidates.join(arrays.select(F.col("class_id").alias("id1"), F.col("norm").alias("units1")), "id1").join(arrays.select(F.col("class_id").alias("id2"), F.col("norm").alias("units2")), "id2")
     both = both.where(pairs.structural_filter(F.col("units1"), F.col("units2"), s.prefilter))
     scored = materialize(pairs.above(similarity.score_pairs(both, weights=s.weights), s.threshold), "scored")
-    member_rows = clustering.members(scored, s.threshold)
-    summary = clustering.summarize(member_rows, classes.select(F.col("class_id").alias("id"), "n"), scored, s.threshold)
-    return Analysis(seqs.join(classes.select("key", "class_id"), "key").drop("key", "norm"), classes.drop("key"), scored, member_rows, summary)
+    one = F.lit(1.0)
+    same = classes.where(F.col("count") > 1).select(F.col("class_id").alias("id1"), F.col("class_id").alias("id2"), "count")
+    selves = same.select("id1", "id2", one.alias("lcs"), one.alias("lev"), one.alias("positional"), one.alias("overall"), F.lit(True).alias("can_refactor"))
+    linked = scored.unionByName(selves)
+    for k in (1, 2):
+        linked = linked.join(classes.select(F.col("class_id").alias(f"id{k}"), F.col("count").alias(f"count{k}")), f"id{k}")
+    near = clustering.members(scored, s.threshold)
+    alone = same.join(near.select(F.col("id").alias("id1")), "id1", "left_anti").select(F.col("id1").alias("cluster_id"), F.col("id1").alias("id"))
+    member_rows = materialize(near.unionByName(alone).join(classes.select(F.col("class_id").alias("id"), "count"), "id").select("cluster_id", "id", "count"), "members")
+    summary = clustering.summarize(member_rows, classes.select(F.col("class_id").alias("id"), "n"), scored.unionByName(selves), s.threshold)
+    return Analysis(seqs.join(classes.select("key", "class_id"), "key").drop("key", "norm"), classes.drop("key"), scored, member_rows, summary, linked.select(*selves.columns, "count1", "count2"))
 
 
 def chosen_pairs(found: Analysis) -> DataFrame:

@@ -494,8 +494,14 @@ def benchmark_contamination(spark, d):
 
 @_query()
 def analysis_pairs(spark, d):
-    """Near-duplicate pairs of window classes, by fast signatures, scored over whole windows."""
-    return analysis.analyse(_bodies(spark, d)).scored
+    """Near-duplicate pairs of window classes, by fast signatures, scored over whole windows; a class of several windows is also paired with itself.
+
+    Then a row for each sequence of a class that is in a pair: id1 and id2 are the class, seq_id, container_id and start_offset the sequence; scores are null.
+    """
+    found = analysis.analyse(_bodies(spark, d))
+    paired = found.pairs.select(F.explode(F.array("id1", "id2")).alias("class_id")).distinct()
+    held = found.sequences.join(paired, "class_id").select(F.col("class_id").alias("id1"), F.col("class_id").alias("id2"), "seq_id", "container_id", "start_offset")
+    return found.pairs.unionByName(held, allowMissingColumns=True)
 
 
 @_query()

@@ -22,6 +22,22 @@ def test_analysis(found):
     assert found.clusters.count() == 3 and {r["n_members"] for r in found.clusters.collect()} == {2}
 
 
+def test_copies_cluster_without_a_near_class(spark):
+    base = [f"unit number {w} is here" for w in "one two three four five".split()]
+    rows = [(k, base) for k in range(4)] + [(9, [f"nothing {w} alike" for w in "abcde"])]
+    found = analysis.analyse(spark.createDataFrame(rows, "container_id long, units array<string>"), Settings())
+    own = found.clusters.collect()
+    assert [(r["n_members"], r["n_sequences"], r["n_pairs"], r["loc_reduction"], r["avg_similarity"]) for r in own] == [(1, 4, 1, 11, 1.0)]
+    assert [(r["id1"] == r["id2"], r["overall"], r["count1"], r["count2"]) for r in found.pairs.collect()] == [(True, 1.0, 4, 4)]
+    held = found.members.join(found.sequences, found.members.id == found.sequences.class_id)
+    assert {r["container_id"] for r in held.collect()} == {0, 1, 2, 3}
+
+
+def test_weights_of_near_classes(found):
+    assert {r["n_sequences"] for r in found.clusters.collect()} == {3}
+    assert {(r["id1"] == r["id2"]) for r in found.pairs.collect()} == {True, False} and found.pairs.count() == 6
+
+
 def test_chosen_pairs_do_not_overlap(found):
     rows = analysis.chosen_pairs(found).collect()
     assert len(rows) == 1 and rows[0]["n1"] == 7
