@@ -68,12 +68,24 @@ def analyse(bodies: DataFrame, settings: Settings | None = None) -> Analysis:
     return Analysis(seqs.join(classes.select("key", "class_id"), "key").drop("key", "norm"), classes.drop("key"), scored, member_rows, summary, linked.select(*selves.columns, "count1", "count2"))
 
 
+def container_classes(found: Analysis) -> DataFrame:
+    """(container_id, box): containers whose sequences are the same share a box, the first of them."""
+    place = F.struct("start_offset", "n", "class_id")
+    rows = found.sequences.groupBy("container_id").agg(F.md5(F.to_json(F.array_sort(F.collect_list(place)))).alias("key"))
+    return rows.join(rows.groupBy("key").agg(F.min("container_id").alias("box")), "key").select("container_id", "box")
+
+
 def chosen_pairs(found: Analysis) -> DataFrame:
-    """Scored class pairs by their first sequences, without those that overlap better ones in their containers."""
-    at = found.sequences.where(F.col("seq_id") == F.col("class_id")).select("seq_id", "container_id", "start_offset", "n", "full_body")
-    rows = found.scored
+    """Scored pairs and equal windows at all their places, without those that overlap better ones between the same containers.
+
+    Equal containers are one, box; container_classes says which they are. Rows grow with the pairs of distinct containers that share a window.
+    """
+    boxes = container_classes(found).where("container_id = box").select("container_id")
+    at = materialize(found.sequences.join(boxes, "container_id").select("class_id", "container_id", "start_offset", "n", "full_body"), "places")
+    rows = found.pairs.drop("count1", "count2")
     for k in (1, 2):
-        side = at.select(F.col("seq_id").alias(f"id{k}"), F.col("container_id").alias(f"box{k}"), F.col("start_offset").alias(f"start{k}"), (F.col("start_offset") + F.col("n") - 1).alias(f"end{k}"), F.col("n").alias(f"n{k}"), F.col("full_body").alias(f"full{k}"))
+        side = at.select(F.col("class_id").alias(f"id{k}"), F.col("container_id").alias(f"box{k}"), F.col("start_offset").alias(f"start{k}"), (F.col("start_offset") + F.col("n") - 1).alias(f"end{k}"), F.col("n").alias(f"n{k}"), F.col("full_body").alias(f"full{k}"))
         rows = rows.join(side, f"id{k}")
+    rows = rows.where((F.col("id1") != F.col("id2")) | (F.struct("box1", "start1") < F.struct("box2", "start2")))
     free = ~pairs.overlaps(F.col("box1"), F.col("box2"), F.col("box1"), F.col("box2"), F.col("start1"), F.col("end1"), F.col("start2"), F.col("end2"))
     return overlap.non_overlapping(rows.where(free).withColumn("full_body", F.col("full1")))

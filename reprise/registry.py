@@ -511,4 +511,9 @@ def analysis_clusters(spark, d):
 
 @_query()
 def non_overlapping_pairs(spark, d):
-    return analysis.chosen_pairs(analysis.analyse(_bodies(spark, d)))
+    """Between each two distinct containers; then a row for each container that equals another: box1 and box2 are the first of its kind, container_id is it."""
+    found = analysis.analyse(_bodies(spark, d))
+    boxes = analysis.container_classes(found)
+    several = boxes.groupBy("box").agg(F.count("*").alias("k")).where("k > 1").select("box")
+    copies = boxes.join(several, "box").select(F.col("box").alias("box1"), F.col("box").alias("box2"), "container_id")
+    return analysis.chosen_pairs(found).unionByName(copies, allowMissingColumns=True)

@@ -43,6 +43,15 @@ def test_chosen_pairs_do_not_overlap(found):
     assert len(rows) == 1 and rows[0]["n1"] == 7
 
 
+def test_every_pair_of_distinct_containers_is_chosen(spark):
+    base = [f"unit number {w} is here" for w in "one two three four five six seven eight nine ten".split()]
+    rows = [(k, base + [f"{w} ends {i}" for i in "abcd"]) for k, w in enumerate(["red", "green", "blue", "red"])]
+    found = analysis.analyse(spark.createDataFrame(rows, "container_id long, units array<string>"), Settings())
+    assert {(r["container_id"], r["box"]) for r in analysis.container_classes(found).collect()} == {(k, k % 3) for k in range(4)}
+    exact = [r for r in analysis.chosen_pairs(found).collect() if r["overall"] == 1.0]
+    assert {(r["box1"], r["box2"]) for r in exact} == {(0, 1), (0, 2), (1, 2)}
+
+
 def test_gate(spark):
     rows = spark.createDataFrame([(1, "EXTRACT_HELPER_METHOD", 1.0, []), (2, "EXTRACT_HELPER_METHOD", 0.4, []), (3, "MANUAL_REVIEW_REQUIRED", 1.0, []), (4, None, 1.0, []), (5, "EXTRACT_HELPER_METHOD", 1.0, ["name is taken"]), (6, "EXTRACT_HELPER_METHOD", 1.0, ["warning: many parameters"])], "id int, strategy string, confidence double, issues array<string>")
     assert [r["action"] for r in rewrites.gate(rows).orderBy("id").collect()] == ["refactor", "skip", "review", "skip", "skip", "refactor"]
