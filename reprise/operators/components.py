@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reprise.storage import materialize
+from reprise.storage import discard, materialize
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v) with v < u, distinct. Returns edges of the same form after one star step.
+    """edges: (u, v) with v < u, distinct. Writes edges of the same form after one star step; what it wrote on the way and ``edges`` are removed.
 
     The minima are written out: AQE splits a hot key of a join only where both sides come straight from a shuffle, not from an aggregate.
     """
@@ -32,7 +32,10 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
         low = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
         near = edges.join(low, "u")
         out = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return out.where("v < u").distinct()
+    made = materialize(out.where("v < u").distinct(), "stars")
+    for old in (low, edges):
+        discard(old)
+    return made
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -48,7 +51,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        state = materialize(_step(materialize(_step(state, True), "large"), False), "stars")
+        state = _step(_step(state, True), False)
         now = _signature(state)
         if now == seen:
             break

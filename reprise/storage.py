@@ -12,8 +12,10 @@ _OWN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where that is unset (tests, one machine)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where that is unset and all runs on one machine (a local master)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="reprise-")
         spark.sparkContext.setCheckpointDir(found)
@@ -34,7 +36,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that materialize() wrote for exactly this DataFrame, once nothing that is still to run reads it. Others are left alone."""
+    path = getattr(df, "_scratch", None)
+    if path is not None:
+        df._scratch = None
+        _OWN.remove((df.sparkSession, path))
+        delete(df.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
