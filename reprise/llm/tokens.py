@@ -50,7 +50,8 @@ def _lowered(word: str) -> str | None:
 def _parts(word: bytes) -> tuple[bytes, bytes]:
     """A word as (core, marks at its end): the splitter cuts there if the core ends with a letter or digit.
 
-    Lower case is safe ahead of the normaliser for ASCII and plain letters; elsewhere composition comes first.
+    Lower case is safe ahead of the normaliser for ASCII and plain letters; elsewhere composition comes first. What counts is the end
+    of the core once it is in lower case: the dotted capital I becomes a letter and a combining dot, which belongs with marks.
     """
     if b"<|" in word or b"|>" in word:
         return word, b""
@@ -63,7 +64,7 @@ def _parts(word: bytes) -> tuple[bytes, bytes]:
     low = _lowered(text)
     if low:
         return low.encode(), word[len(core) :]
-    return (core, word[len(core) :]) if text[-1].isalnum() else (word, b"")
+    return (core, word[len(core) :]) if text[-1].isalnum() and text[-1].lower()[-1].isalnum() else (word, b"")
 
 
 def vocabulary_size(vocabulary: str | None = None) -> int:

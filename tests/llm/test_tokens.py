@@ -133,3 +133,20 @@ def test_pack_nothing(spark):
 def test_query_sum(spark):
     docs = data.documents(spark)
     assert token_files.encode_to_files(docs).agg(F.count("*")).first()[0] == docs.count()
+
+
+def test_random_words_as_the_library_has_them():
+    """Every mix of dotted capitals, combining marks, marks and letters gives the library's ids."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from reprise.llm import tokens
+
+    rng = random.Random(3)
+    own, whole = tokens.encoder(), Tokenizer.from_file(tokens.default_vocabulary())
+    letters = "aZ09\u0130\u0131\u00df\u00e9\u00c9\u0307\u0301\u01c5\ufb01\u1e9e\u4e2d\U0001f600\u03a3\u2126\u00bd'.,!-|<>#*"
+    texts = ["TAR\u0130H\u0130.", "\u0130!", "a\u0130|b"] + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(60_000)]
+    expected = whole.encode_batch_fast(texts, add_special_tokens=False)
+    for text, got, e in zip(texts, own(texts), expected, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == e.ids, ascii(text)
