@@ -164,10 +164,19 @@ def _verify(radius: int, small: int = 48):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 4, parts: int = 3, block: int = 2048) -> DataFrame:
+def parts_for(distinct: int, radius: int, least_load: float = 16.0) -> int:
+    """How many segments: as many as leave a table's buckets few strangers. More segments mean smaller balls, fewer mean wider segments.
+
+    Any number finds the same links; this one only keeps the chance meetings of a probe, distinct fingerprints over buckets, under ``least_load``.
+    """
+    return next((m for m in range(max(1, radius - 1), 1, -1) if distinct / 2 ** (BITS // m) < least_load), 2)
+
+
+def near_links(fps: DataFrame, radius: int = 4, parts: int | None = None, block: int = 2048) -> DataFrame:
     """Links (a, b) between distinct values of ``fp``: enough of those within ``radius`` bits to connect whatever all of them connect."""
     spark = fps.sparkSession
-    rows = _probes(fps.select("fp").distinct(), radius, parts)
+    known = materialize(fps.select("fp").distinct(), "known")
+    rows = _probes(known, radius, parts or parts_for(known.count(), radius))
     hot = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block), "hot")  # see components on why
     rows = rows.join(hot, "bucket", "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(block)).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -180,7 +189,7 @@ def near_links(fps: DataFrame, radius: int = 4, parts: int = 3, block: int = 204
     return dealt.mapInArrow(_verify(radius), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, parts: int = 3, block: int = 2048) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, parts: int | None = None, block: int = 2048) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id, text; other columns are not read).
 
     Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id in reach).
@@ -207,11 +216,9 @@ def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fingerprint").distinct()
     known = docs.where("doc_id is not null").join(stay.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     known = known.dropDuplicates(["doc_id", "text"])
-    # rows without an id are told apart by their fingerprints
+    # rows without an id are told apart by their fingerprints; the columns of docs stay inside a struct, so that no name clashes
     lone = stay.where("doc_id is null").select("fingerprint")
-    blank = docs.where("doc_id is null").withColumn("fingerprint", F.lit(None).cast("string"))
-    blank = blank.drop("fingerprint").dropDuplicates(["text"])
-    marked = blank.select(F.struct("*").alias("row"), "text", F.xxhash64("text").alias("doc_id"))
+    marked = docs.where("doc_id is null").dropDuplicates(["text"]).select(F.struct("*").alias("row"), "text", F.xxhash64("text").alias("doc_id"))
     prints = fingerprints(marked, words).select(F.col("doc_id").alias("key"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")).distinct()
     blank = marked.join(prints.join(lone, "fingerprint").select(F.col("key").alias("doc_id")).distinct(), "doc_id", "left_semi").select("row.*")
     return known.select(docs.columns).unionByName(blank.select(docs.columns))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from reprise.llm import simhash
@@ -79,3 +80,19 @@ def test_one_of_each(spark):
     assert {5, 8, 9, 10, 20} <= set(ids) and not {6, 7} & set(ids)
     assert sum(i is None for i in ids) == 1  # of two equal rows without an id one stays; the null text is near document 5
     assert ids.count(20) == 1 and ids.count(15) == 2
+
+
+def test_no_column_name_clashes(spark):
+    docs = data.documents(spark)
+    own = ("fingerprint", "component_id", "root", "first", "row", "bucket", "a", "b", "fp", "node")
+    clashing = docs.withColumns({name: F.lit("x") for name in own})
+    out = simhash.one_of_each(clashing)
+    assert out.columns == clashing.columns
+    assert out.count() == simhash.one_of_each(docs).count()
+
+
+def test_number_of_segments_changes_no_link(spark):
+    assert simhash.parts_for(1000, 4) == 3 and simhash.parts_for(1 << 36, 4) == 2
+    docs = data.documents(spark)
+    got = [sorted(map(tuple, simhash.simhash_groups(docs, parts=m).collect()), key=str) for m in (2, 3, 4)]
+    assert got[0] == got[1] == got[2]
