@@ -1,12 +1,15 @@
 """Substring dedup by level-wise doubling of repeated windows.
 
-Level 0 is the whole document: a document with the same words as a smaller one goes altogether, and takes no further part.
-Level 1 looks at windows of half the length. A window of ``window`` words holds a run of half-length windows, and the one with
-the smallest hash leads it; equal windows have equal leaders, so only leaders (one in about a dozen words) need
-to be counted. Level 2 extends those that occur in several documents to the full length: windows whose leader isn't repeated
-can't be, the others are met by their own hashes, and the smallest document of each is found.
+A document with the same words as a smaller one goes altogether, and takes no further part. Of the others, windows of the
+shortest length are counted, and those that occur in one document alone drop out. The survivors alone are extended to twice the length (one
+less where that is odd), counted and thinned out again, and so on up to the full window, or until none survive.
 
-Hashes have 64 bits: among n windows, about n*n/2**65 pairs of different ones are taken for equal.
+A full window holds many windows of a shorter length; of these, the one with the smallest hash leads it. Equal windows have
+equal leaders, so a level counts only leaders, about one in twenty words, and loses no repeat: a full window's leaders, one of each
+level, are its chain, and a chain ends where its leader of some level is in one document alone.
+
+A match of full windows is one of 128 bits, so among n of them about n*n/2**129 pairs of different ones are taken for equal.
+Shorter levels' hashes have 64 bits: a false match there costs a little work and changes nothing.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reprise.llm.common import per_document, words_of
-from reprise.storage import materialize
+from reprise.storage import discard, materialize
 
 WINDOW = 50
+#: Words of the shortest level at least.
+START = 12
 _TABLE_WORDS = 500_000
 
 
@@ -77,59 +82,100 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(level[:n], level[width - length : width - length + n])
 
 
-def leaders(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the half windows, for each window the hash of its leader)."""
-    half = window_hashes(words, window // 2)
-    return half, _slide(half, window - window // 2 + 1, np.minimum)
+def lengths(window: int, start: int = START) -> list[int]:
+    """Rising lengths of the levels, each about twice the one before; the last is ``window``, the first at least ``start`` or half the window."""
+    out = [window]
+    while out[0] > 1 and (len(out) == 1 or (out[0] + 1) // 2 >= start):
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def level_hashes(words: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """The hashes of the windows of each size; each level's are put together from two windows of the level before."""
+    out = [window_hashes(words, sizes[0])]
+    for before, size in zip(sizes, sizes[1:], strict=False):
+        n, shift = max(0, len(words) - size + 1), size - before
+        out.append(_join(out[-1][:n], out[-1][shift : shift + n]))
+    return out
+
+
+def chains(words: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """For each full window the hash of its leader at each shorter level (a row a window)."""
+    return np.stack([_slide(h, sizes[-1] - size + 1, np.minimum) for h, size in zip(level_hashes(words, sizes), sizes[:-1], strict=False)], axis=1)
 
 
-def _survey(docs: DataFrame, window: int) -> DataFrame:
-    """Per row: doc_id, n_words, words_sha256, and the distinct leaders of its windows."""
+def full_hashes(words: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each full window."""
+    return level_hashes(words, sizes)[-1], window_hashes((words ^ (words >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25), sizes[-1])
+
+
+def _survey(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """Per row: doc_id, n_words, words_sha256, and the distinct chains of its windows."""
 
     def make():
         def step(rows):
-            out = {"doc_id": rows["doc_id"], "n_words": [], "words_sha256": [], "leaders": []}
+            out = {"doc_id": rows["doc_id"], "n_words": [], "words_sha256": [], "chains": []}
             for text in rows["text"]:
                 words = words_of(text)
                 out["n_words"].append(len(words))
                 out["words_sha256"].append(hashlib.sha256(b" ".join(words)).hexdigest())
-                lead = np.unique(leaders(_HASHES.of(words), window)[1]) if len(words) >= window else np.zeros(0, np.uint64)
-                out["leaders"].append(lead.view(np.int64))
-            return {"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "words_sha256": pa.array(out["words_sha256"]), "leaders": pa.array(out["leaders"], pa.list_(pa.int64()))}
+                found = np.zeros((0, len(sizes) - 1), np.uint64)
+                if len(words) >= sizes[-1]:
+                    found = chains(_HASHES.of(words), sizes)
+                    found = found[np.r_[True, (np.diff(found, axis=0) != 0).any(axis=1)]]  # neighbours mostly share their chain
+                out["chains"].append(found.view(np.int64).tolist())
+            return {"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "words_sha256": pa.array(out["words_sha256"]), "chains": pa.array(out["chains"], pa.list_(pa.list_(pa.int64())))}
 
         return step
 
-    return per_document(docs.select("doc_id", "text"), "doc_id long, n_words long, words_sha256 string, leaders array<long>", make)
+    return per_document(docs.select("doc_id", "text"), "doc_id long, n_words long, words_sha256 string, chains array<array<long>>", make)
+
 
+def _survivors(found: DataFrame, levels: int) -> DataFrame:
+    """(doc_id, chain) whose leaders of all levels are in several documents; each level sees what the one before left."""
+    for level in range(levels):
+        keyed = found.select("doc_id", "chain", F.get("chain", F.lit(level)).alias("h"))
+        repeated = materialize(keyed.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h"), f"level{level}")
+        left = materialize(keyed.join(repeated, "h").select("doc_id", "chain"), f"chains{level}")
+        for old in (found, repeated):
+            discard(old)
+        found = left
+        if found.isEmpty():
+            break
+    return found
 
-def _full_windows(docs: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
-    """(doc_id, w): the distinct hashes of full windows whose leader is a candidate."""
+
+def _full_windows(docs: DataFrame, candidates: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, w, v): the distinct hashes of full windows whose chain survives."""
 
     def make():
         def step(rows):
             ids, found = [], []
             for doc, text, lead in zip(rows["doc_id"], rows["text"], rows["leaders"], strict=True):
                 words = _HASHES.of(words_of(text))
-                if len(words) < window:
+                if len(words) < sizes[-1]:
                     continue
-                half, led = leaders(words, window)
-                at = np.nonzero(np.isin(led, np.array(lead, np.int64).view(np.uint64)))[0]
-                w = np.unique(_join(half[at], half[at + window // 2] if window % 2 == 0 else window_hashes(words[window // 2 :], window - window // 2)[at]))
+                at = np.nonzero(np.isin(chains(words, sizes)[:, -1], np.array(lead, np.int64).view(np.uint64)))[0]
+                w, v = full_hashes(words, sizes)
+                w, first = np.unique(w[at], return_index=True)
                 ids.append(np.full(len(w), doc, np.int64))
-                found.append(w)
+                found.append((w, v[at][first]))
             if not ids:
                 return None
-            return {"doc_id": pa.array(np.concatenate(ids)), "w": pa.array(np.concatenate(found).view(np.int64))}
+            w, v = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+            return {"doc_id": pa.array(np.concatenate(ids)), "w": pa.array(w), "v": pa.array(v)}
 
         return step
 
     joined = docs.select("doc_id", "text").join(candidates, "doc_id").select("doc_id", "text", "leaders")
-    return per_document(joined, "doc_id long, w long", make)
+    return per_document(joined, "doc_id long, w long, v long", make)
 
 
-def _cut(docs: DataFrame, marked: DataFrame, window: int) -> DataFrame:
+def _cut(docs: DataFrame, marked: DataFrame, sizes: list[int]) -> DataFrame:
     """Of documents with marked windows: doc_id, words_sha256, n_removed, kept_sha256, kept_text."""
 
+    window = sizes[-1]
+
     def make():
         def step(rows):
             out = {k: [] for k in ("words_sha256", "n_removed", "kept_sha256", "kept_text")}
@@ -137,11 +183,8 @@ def _cut(docs: DataFrame, marked: DataFrame, window: int) -> DataFrame:
                 words = words_of(text)
                 kept = words
                 if len(words) >= window:
-                    x = _HASHES.of(words)
-                    a = window_hashes(x, window // 2)
-                    b = a if window % 2 == 0 else window_hashes(x, window - window // 2)
                     n = len(words) - window + 1
-                    hit = np.isin(_join(a[:n], b[window // 2 : window // 2 + n]), np.array(marks, np.int64).view(np.uint64))
+                    hit = np.isin(level_hashes(_HASHES.of(words), sizes)[-1], np.array(marks, np.int64).view(np.uint64))
                     edge = np.zeros(len(words) + 1, np.int64)
                     edge[:n] += hit
                     edge[window : window + n] -= hit
@@ -166,22 +209,23 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
     null id are neither smaller nor larger than others and stay whole. Rows of one id are one document: they don't remove
     each other's words. An empty table gives no rows.
     """
-    survey = materialize(_survey(docs, window), "survey")
+    sizes = lengths(window)
+    survey = materialize(_survey(docs, sizes), "survey")
     # what hot keys meet is written out first: AQE splits a join's key only where both sides come straight from a shuffle
     owners = materialize(survey.where("doc_id is not null").groupBy("words_sha256").agg(F.min("doc_id").alias("owner")), "owners")
     rows = survey.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).select("doc_id", "words_sha256").distinct()
     copies = materialize(materialize(rows, "long").join(owners, "words_sha256").where("doc_id <> owner").select("doc_id", "words_sha256"), "copies")
-    whole = survey.where("doc_id is not null and size(leaders) > 0").join(copies, ["doc_id", "words_sha256"], "left_anti")
-    lead = whole.select("doc_id", F.explode("leaders").alias("h"))
-    lead = materialize(lead, "lead")
-    repeated = materialize(lead.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h"), "repeated")
-    candidates = materialize(lead.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("leaders")), "leaders")
-    windows = materialize(_full_windows(docs, candidates, window), "windows")
-    first = materialize(windows.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w", "low"), "first")
-    marked = windows.join(first, "w").where("doc_id > low").groupBy("doc_id").agg(F.collect_set("w").alias("marks"))
-    cut = materialize(_cut(docs, marked, window), "cut").dropDuplicates(["doc_id", "words_sha256"])
+    whole = survey.where("doc_id is not null and size(chains) > 0").join(copies, ["doc_id", "words_sha256"], "left_anti")
+    found = _survivors(materialize(whole.select("doc_id", F.explode("chains").alias("chain")), "chains"), len(sizes) - 1)
+    candidates = materialize(found.groupBy("doc_id").agg(F.collect_set(F.element_at("chain", -1)).alias("leaders")), "leaders")
+    windows = materialize(_full_windows(docs, candidates, sizes), "windows")
+    first = materialize(windows.groupBy("w", "v").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w", "v", "low"), "first")
+    marked = windows.join(first, ["w", "v"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("w").alias("marks"))
+    cut = materialize(_cut(docs, marked, sizes), "cut").dropDuplicates(["doc_id", "words_sha256"])
+    for old in (found, candidates, windows, first):
+        discard(old)
     gone = copies.select("doc_id", "words_sha256", F.lit(-1).cast("long").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept_text"))
     changed = cut.join(copies, ["doc_id", "words_sha256"], "left_anti").unionByName(gone)
-    out = survey.drop("leaders").join(changed, ["doc_id", "words_sha256"], "left")
+    out = survey.drop("chains").join(changed, ["doc_id", "words_sha256"], "left")
     removed = F.when(F.col("n_removed") < 0, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("kept_sha256", "words_sha256").alias("kept_sha256"), *["kept_text"] * with_text)

@@ -52,5 +52,21 @@ def test_window_hashes():
         for i in range(len(x) - size + 1):
             by.setdefault(tuple(x[i : i + size]), set()).add(int(h[i]))
         assert len(h) == len(x) - size + 1 and all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
-    half, led = substrings.leaders(x, 50)
-    assert [int(v) for v in led] == [int(half[i : i + 26].min()) for i in range(len(x) - 49)]
+    found = substrings.chains(x, [13, 25, 50])
+    for k, (h, size) in enumerate(zip(substrings.level_hashes(x, [13, 25, 50]), (13, 25), strict=False)):
+        assert [int(v) for v in found[:, k]] == [int(h[i : i + 51 - size].min()) for i in range(len(x) - 49)]
+
+
+def test_levels():
+    assert substrings.lengths(50) == [13, 25, 50] and substrings.lengths(13) == [7, 13] and substrings.lengths(2) == [1, 2] and substrings.lengths(1) == [1]
+    x = np.random.default_rng(2).integers(0, 1 << 60, 200).astype(np.uint64)
+    x[120:180] = x[20:80]
+    sizes = substrings.lengths(50)
+    found, (w, v) = substrings.chains(x, sizes), substrings.full_hashes(x, sizes)
+    assert found.shape == (151, 2) and (found[20:31] == found[120:131]).all()
+    assert (w[20:31] == w[120:131]).all() and (v[20:31] == v[120:131]).all() and len(set(w.tolist())) == len(set(v.tolist())) == 151 - 11
+
+
+def test_nothing_survives_the_first_level(spark):
+    rows = [(k, " ".join(data.words(80, k + 900, 10**6)).replace("w", f"v{k}")) for k in range(6)]
+    assert all(r[2] == 0 for r in substrings.dedup_substrings(data.documents(spark, rows)).collect())
