@@ -110,14 +110,25 @@ def add_markov(df: DataFrame, table: list[float]) -> DataFrame:
     ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")  # a constant: folded once
 
     def random(v: Column) -> Column:
-        codes = F.sequence(F.lit(1), F.length(v) - 1)
-        total = F.aggregate(codes, F.lit(0.0), lambda a, i: a + F.get(ratios, F.ascii(F.substr(v, i, F.lit(1))) * 128 + F.ascii(F.substr(v, i + 1, F.lit(1)))))
+        """One walk along the characters, which are split once; the state is the character before and the sum so far."""
+        def step(a: Column, c: Column) -> Column:
+            code = F.ascii(c)
+            return F.struct(code.alias("last"), (a["sum"] + F.coalesce(F.get(ratios, a["last"] * 128 + code), F.lit(0.0))).alias("sum"))
+
+        start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0.0).alias("sum"))
+        total = F.aggregate(F.split(v, ""), start, step, lambda a: a["sum"])
         return v.rlike("[A-Za-z]") & (total >= F.greatest(F.lit(LEAST_RATIO), F.length(v) * F.lit(LEAST_MEAN)))
 
     df = _located(df, RUN, F.col("text").rlike(RUN), 0, 3, "_runs", lambda v: random(v))
-    fixed = F.concat("assign", "access", "hex")
-    free = F.filter("_runs", lambda r: ~F.exists(fixed, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return df.select("*", F.when(F.size("_runs") > 0, free).otherwise(F.col("_runs")).alias("markov")).drop("_runs")
+    # fixed spans in blocks of neighbours, so that a run looks into those blocks alone that it can touch
+    ordered = F.when(F.size("_runs") > 0, F.array_sort(F.concat("assign", "access", "hex"))).otherwise(F.array().cast(SPAN))
+    df = df.select("*", ordered.alias("_f"))
+    blocks = F.transform(F.sequence(F.lit(0), F.expr(f"(size(_f) - 1) div {_BLOCK}").cast("int")), lambda b: F.slice("_f", b * _BLOCK + 1, F.lit(_BLOCK)))
+    df = df.select("*", F.when(F.size("_f") > 0, blocks).otherwise(F.array().cast(f"array<{SPAN}>")).alias("_b"))
+    ranges = F.transform("_b", lambda b: F.struct(F.get(b, F.lit(0))["start"].alias("low"), F.array_max(F.transform(b, lambda x: x["end"])).alias("high"), b.alias("own")))
+    df = df.select("*", ranges.alias("_r"))
+    free = F.filter("_runs", lambda r: ~F.exists("_r", lambda b: (b["low"] < r["end"]) & (r["start"] < b["high"]) & F.exists(b["own"], lambda x: (x["start"] < r["end"]) & (r["start"] < x["end"]))))
+    return df.select("*", F.when(F.size("_r") > 0, free).otherwise(F.col("_runs")).alias("markov")).drop("_runs", "_f", "_b", "_r")
 
 
 def _listed(spans: Column) -> Column:
@@ -141,15 +152,22 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None) -> DataFrame
     return rows.select("doc", "text", *[f"n_{k}" for k in KINDS[:3]], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"), "found")
 
 
-def redact(mark: str = "[SECRET]") -> Column:
-    """The text of find_secrets' rows with every span, or run of spans that overlap, replaced by ``mark``."""
-    ordered = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
-        fresh = s["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["done"], gap, F.lit(mark))).otherwise(a["done"]).alias("done"))
+def with_redacted(found: DataFrame, out: str, mark: str = "[SECRET]") -> DataFrame:
+    """find_secrets' rows and ``out``: the text with every span, or run of spans that overlap, replaced by ``mark``.
 
-    whole = F.aggregate(ordered, start, step, lambda a: F.concat(a["done"], F.substr(F.col("text"), a["at"] + 1, F.length("text"))))
-    return F.when(F.size("found") > 0, whole).otherwise(F.col("text"))
+    The text is split into characters once, and its pieces are joined once.
+    """
+    ordered = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    rows = found.select("*", F.when(F.size("found") > 0, ordered).alias("_o"))
+    seen = F.aggregate("_o", F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.greatest(F.element_at(a, -1), s["end"]))))
+    # per span: where all spans before it end
+    rows = rows.select("*", F.when(F.size("_o") > 0, seen).alias("_e"), F.when(F.size("_o") > 0, F.split("text", "")).alias("_c"))
+
+    def piece(s: Column, i: Column) -> Column:
+        gap = F.array_join(F.slice("_c", F.get("_e", i) + 1, F.greatest(F.lit(0), s["start"] - F.get("_e", i))), "")
+        return F.when(s["start"] >= F.get("_e", i), F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
+
+    last = F.element_at("_e", -1)
+    tail = F.array_join(F.slice("_c", last + 1, F.greatest(F.lit(0), F.size("_c") - last)), "")
+    whole = F.concat(F.array_join(F.transform("_o", piece), ""), tail)
+    return rows.select("*", F.when(F.size("_o") > 0, whole).otherwise(F.col("text")).alias(out)).drop("_o", "_e", "_c")

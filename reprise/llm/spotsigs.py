@@ -2,8 +2,8 @@
 
 Everything is column expressions. An anchor is a common word; its signature is the anchor with the next content words, common
 words skipped. A text's fingerprint is its set of signatures, hashed to 32 bits. Sets are partitioned by the logarithm
-of their length: sets from partitions that aren't neighbours have lengths too far apart to be alike, so their Jaccard
-needn't be found.
+of their length: sets from partitions that aren't neighbours have lengths too far apart to be alike, so they never meet.
+fingerprint_edits compares given pairs, whose likeness is their Jaccard whatever their lengths; similar_sets finds all alike pairs of a table.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ al como con del el ha las lo los más no para por su sus una y
 #: What parts words: ASCII characters that are neither letters nor digits.
 SEPARATOR = r"[\x00-/:-@\[-`{-\x7f]+"
 CHAIN = 2
-#: Least Jaccard that counts; it sets how wide a partition of lengths is.
-LEAST = 0.2
+#: Least Jaccard of a near-duplicate; it sets how wide a partition of lengths is.
+LEAST = 0.8
 #: Documents that a bucket of neighbours holds on average, and buckets at most.
 BUCKET, MOST_BUCKETS = 1000, 20_000
 _MASK = (1 << 32) - 1
@@ -52,14 +52,41 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
 
 
 def length_partition(signatures: Column, least: float = LEAST) -> Column:
-    return F.floor(F.log(F.size(signatures)) / F.lit(-math.log(least)))
+    """Sets whose Jaccard is at least ``least`` are in one partition or in neighbouring ones: their lengths differ by at most that factor."""
+    return F.floor(F.log(F.size(signatures)) / F.lit(-math.log(least)) + F.lit(1e-9)).cast("int")
 
 
-def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
-    """Jaccard of two signature sets; 0 where the partitions of their lengths show that it is under ``least``."""
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard of two signature sets."""
     shared = F.size(F.array_intersect(a, b))
-    near = F.abs(length_partition(a, least) - length_partition(b, least)) <= 1
-    return F.when(near, shared / (F.size(a) + F.size(b) - shared)).otherwise(F.lit(0.0))
+    return shared / (F.size(a) + F.size(b) - shared)
+
+
+def similar_sets(sets: DataFrame, key: str, signatures: str, least: float = 0.8) -> DataFrame:
+    """(id1, id2, likeness): every pair of keys, id1 < id2, whose distinct signature sets have a Jaccard of at least ``least``.
+
+    ``sets`` has one row for each distinct set (copies belong to one key). Sets are dealt by length partition, each to its own and to
+    the one below, so a pair meets where the longer one's neighbours are. Within a partition they meet by their rarest signatures: of
+    a set of n, the n - ceil(least * n) + 1 that are rarest over all sets, of which two alike sets share one. A pair is taken at the first one
+    that both have, pruned by lengths, and verified in the join; nothing is dropped. Null or empty sets are alike to none.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    rows = sets.select(F.col(key).alias("id"), F.col(signatures).alias("s")).where("id is not null and size(s) > 0")
+    rows = rows.withColumn("partition", length_partition(F.col("s"), least) if least < 1 else F.size("s"))
+    common = rows.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c"))
+    ranked = rows.select("id", F.explode("s").alias("x")).join(common, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("r"))
+    kept = F.expr(f"size(r) - cast(ceil({least!r} * size(r) - 1e-9) as int) + 1")
+    prefix = ranked.select("id", F.slice("r", F.lit(1), kept).alias("p"))
+    whole = rows.join(prefix, "id")
+    own = whole.select("id", "s", "p", "partition", F.explode("p").alias("at"))
+    a = own.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("p").alias("pa"), F.explode(F.array("partition", F.col("partition") - 1)).alias("deal"), "at", F.col("partition").alias("ka"))
+    b = own.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("p").alias("pb"), F.col("partition").alias("deal"), "at")
+    met = a.join(b, ["deal", "at"]).where((F.col("ka") > F.col("deal")) | (F.col("a") < F.col("b"))).where(F.col("a") != F.col("b"))
+    n, m = F.size("sa"), F.size("sb")
+    met = met.where((F.least(n, m) >= F.lit(least) * F.greatest(n, m) - F.lit(1e-9)) & (F.array_min(F.array_intersect("pa", "pb")) == F.col("at")))
+    found = met.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= F.lit(least - 1e-12))
+    return found.select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "likeness")
 
 
 def as_text(signatures: Column) -> Column:
@@ -69,7 +96,7 @@ def as_text(signatures: Column) -> Column:
 def _bucket(bounds: list[int]) -> Column:
     """How many bounds are at most doc_id, by two short searches; nulls are in bucket 0."""
     step = max(1, math.isqrt(len(bounds)))
-    coarse, fine = F.array(*map(F.lit, bounds[::step])), F.array(*map(F.lit, bounds))
+    coarse, fine = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<long>") for x in (bounds[::step], bounds))  # constants: folded once
     lower = F.greatest(F.lit(0), F.size(F.filter(coarse, lambda b: b <= F.col("doc_id"))) - 1)
     inside = F.filter(F.slice(fine, lower * step + 1, F.lit(step)), lambda b: b <= F.col("doc_id"))
     return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(lower * step + F.size(inside)) if bounds else F.lit(0)

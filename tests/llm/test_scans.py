@@ -32,7 +32,7 @@ def table(spark):
 
 def test_secrets(spark, table):
     docs = data.documents(spark, SECRETS + data.texts())
-    rows = secrets.find_secrets(docs, table).select("doc.doc_id", "text", "n_assign", "n_access", "n_hex", "base_sha256", "spans", secrets.redact().alias("clean")).collect()
+    rows = secrets.with_redacted(secrets.find_secrets(docs, table), "clean").select("doc.doc_id", "text", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean").collect()
     assert len(rows) == len(SECRETS) + len(data.texts())
     for r in rows:
         own = slow_spans(r["text"])
@@ -171,3 +171,34 @@ def test_scores_of_nothing(spark):
 
 def test_null_reading(spark):
     assert data.documents(spark).where(F.col("text").isNull()).count() == 2
+
+
+def test_similar_sets(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [sorted(rng.sample(range(60), rng.randrange(1, 30))) for _ in range(60)]
+    sets = {tuple(x) for x in base} | {tuple(sorted(set(x) ^ {rng.randrange(60)})) for x in base} | {tuple(range(40)), tuple(range(41)), tuple(range(60))}
+    rows = [(i, [int(v) for v in s]) for i, s in enumerate(sorted(sets))] + [(None, [1]), (-1, None)]
+    df = spark.createDataFrame(rows, "id long, s array<long>")
+    for least in (1.0, 0.8, 0.5, 0.2):
+        got = {(r["id1"], r["id2"]): r["likeness"] for r in spotsigs.similar_sets(df, "id", "s", least).collect()}
+        slow = {}
+        for i, a in rows[:-2]:
+            for j, b in rows[:-2]:
+                if i < j and a and b and (x := len(set(a) & set(b)) / len(set(a) | set(b))) >= least:
+                    slow[i, j] = x
+        assert got == slow
+        assert spotsigs.similar_sets(df, "id", "s", least).count() == len(slow)
+
+
+def test_long_runs_and_many_spans(spark, table):
+    import time
+
+    texts = [("a", "Zk3bQ9xY" * 125_000), ("b", "".join(f'token="{i:032x}" ' for i in range(4000))), ("c", " ".join(f"qZ9x{i}Kw3Rt7Yp2Lm8Vb4N" for i in range(4000)) + " token=abcdefgh")]
+    for name, text in texts:
+        docs = data.documents(spark, [(1, text)])
+        start = time.time()
+        r = secrets.with_redacted(secrets.find_secrets(docs, table), "clean").select("spans", "clean").first()
+        assert time.time() - start < 20, name
+        assert r["spans"] and r["clean"].count("[SECRET]") == (1 if name == "a" else 4000 if name == "b" else r["spans"].count(":") // 2)
