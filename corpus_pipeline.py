@@ -22,7 +22,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets in their texts are replaced by a mark, and n_chars follows. Texts without any stay as they are."""
-    found = secrets.find_secrets(docs).withColumn("clean", secrets.redact())
+    found = secrets.with_redacted(secrets.find_secrets(docs), "clean")
     touched = F.size("found") > 0
     new = {"text": F.when(touched, F.col("clean")).otherwise(F.col("doc.text")), "n_chars": F.when(touched, F.length("clean").cast("long")).otherwise(F.col("doc.n_chars"))}
     return found.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
