@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reprise.llm import mph, tokens
-from reprise.storage import materialize, scratch_path
+from reprise.storage import materialize, scratch_path, shuffle_partitions
 
 END_ID = 1
+#: Documents of a shard on average, once there are more than the session's partitions hold; bounds an index and a task's keys.
+SHARD_DOCS = 200_000
 _NULL = -(1 << 63)
 
 
@@ -93,7 +95,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None) -> Data
             "n_tokens": pa.array([int(lengths.sum())], pa.int64()), "width": pa.array([width], pa.int32()), "payload": [f"{path}/{name}.ids"], "index": [f"{path}/{name}.idx"],
         })
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    n_shards = max(shuffle_partitions(docs.sparkSession), -(-docs.count() // SHARD_DOCS))
+    dealt = docs.select("doc_id", "text").repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id", "text")
     shards = materialize(dealt.mapInArrow(run, schema), "manifest")
     from pyspark.sql import Window
 
@@ -180,11 +183,15 @@ def read_ids(keys: DataFrame, manifest: DataFrame) -> DataFrame:
 
     if not shards:
         return counted.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("start", "n_tokens", "ids_crc32"))).where("false")
-    dealt = counted.mapInArrow(deal, "doc_id long, n long, shard int").repartition("shard").sortWithinPartitions("shard", "doc_id")
+    dealt = counted.mapInArrow(deal, "doc_id long, n long, shard int").repartition(len(shards), "shard").sortWithinPartitions("shard", "doc_id")
     return dealt.mapInArrow(look, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_to_files(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Write the ids of ``docs`` to files in the shared folder and read them back by key: doc_id, start, n_tokens, ids_crc32."""
+    """Write the ids of ``docs`` to files in the shared folder and read them back by key: doc_id, start, n_tokens, ids_crc32.
+
+    A null text is an empty one and has its end id alone. Null ids come first; rows of one id follow by text, and each gives a row,
+    exact repeats included. Other columns aren't read; an empty table gives no rows.
+    """
     manifest = write_ids(docs, scratch_path(docs.sparkSession, "ids"), vocabulary)
     return read_ids(docs.select("doc_id"), manifest)
