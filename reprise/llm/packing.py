@@ -133,7 +133,8 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, w
         by_length[size] = tuple(own.T)
 
     inside = Window.partitionBy("length", "run").orderBy("doc_id", "row", "piece")
-    ranked = spread.withColumn("at", F.row_number().over(inside) - 1).join(tally.select("length", "run", "before"), ["length", "run"])
+    # the tally grows with the pieces: a merge join, never a broadcast
+    ranked = spread.withColumn("at", F.row_number().over(inside) - 1).join(tally.select("length", "run", "before").hint("merge"), ["length", "run"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("before") + F.col("at")).alias("rank"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
