@@ -26,11 +26,13 @@ from reprise.llm.labelled import fold
 from reprise.storage import materialize
 
 FOLDS, HELD_OUT = 7, 2
-#: Words that seed classes, and the seed classes; words in a task's table, and bytes of such a word, at most (12.8 MB in all).
+#: Words that seed classes, and the seed classes; words in a task's table, and bytes of such a word on average, at most (12.8 MB in all).
 CLUSTERED, CLASSES = 1024, 64
 #: Occurrences from which on a word is clustered; passes that move words before the last one; weight of the overall profile in a class's.
 SEEN, PASSES, PRIOR = 2, 3, 10.0
 TABLE_WORDS, TABLE_BYTES = 200_000, 64
+#: Bytes of a word from which on it is never in the table.
+LONG_WORD = 4096
 SHAPES = 32
 #: Smoothing of transitions and of emissions.
 ALPHA, DELTA = 0.1, 0.5
@@ -136,18 +138,24 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def frequent(vocabulary: DataFrame, most: int = TABLE_WORDS) -> pd.DataFrame:
-    """The most frequent words of at most TABLE_BYTES bytes, in order; as many whole steps of a fine scale of counts as hold at most ``most`` words.
+    """The most frequent words, in order: ``most`` of them, or fewer where they would take more than most * TABLE_BYTES bytes.
 
-    The scale's histogram (at most 1024 rows) says where to cut, so no task and no driver sorts more than the words that stay.
+    The histogram of a fine scale of counts (at most 1024 rows) says where to cut, so no task and no driver sorts more than the last step's words
+    that still fit. Words of over LONG_WORD bytes are left out.
     """
-    short = vocabulary.where(F.octet_length("word") <= TABLE_BYTES).withColumn("step", F.floor(F.log2("c") * 16).cast("int"))
-    held, cut = 0, 1 << 30
-    for r in sorted(short.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
-        held += r["n"]
-        if held > most:
+    short = vocabulary.where(F.octet_length("word") <= LONG_WORD).withColumn("step", F.floor(F.log2("c") * 16).cast("int"))
+    held, size, cut = 0, 0, 1 << 30
+    last = None
+    for r in sorted(short.groupBy("step").agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).collect(), key=lambda r: -r["step"]):
+        if held + r["n"] > most or size + r["size"] > most * TABLE_BYTES:
+            # of the step that doesn't fit, as many as there's room for at its mean length
+            last = r["step"], int(min(most - held, (most * TABLE_BYTES - size) * r["n"] // max(1, r["size"])))
             break
-        cut = r["step"]
-    return short.where(F.col("step") >= cut).select(*vocabulary.columns).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+        held, size, cut = held + r["n"], size + r["size"], r["step"]
+    found = short.where(F.col("step") >= cut)
+    if last and last[1] > 0:
+        found = found.unionByName(short.where(F.col("step") == last[0]).orderBy(F.desc("c"), "word").limit(last[1]))
+    return found.select(*vocabulary.columns).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
 
 def count_pairs(docs: DataFrame, words: list[bytes]) -> np.ndarray:
