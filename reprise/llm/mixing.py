@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-A source's documents form one stream of words, cut into blocks of fixed length. The mix is a row of slots, dealt into output
+A source's documents form one stream of words, cut into blocks of one length. The mix is a row of slots, dealt into output
 shards. Each shard draws its source counts from a multinomial whose chances are what the sources still owe, so all shards
 together meet every quota exactly. A source's j-th slot takes block p(j) of a pseudorandom permutation of its
 blocks, a new one on each pass; a source with q slots and n blocks thus uses each block floor(q/n) or ceil(q/n) times.
@@ -25,6 +25,8 @@ from reprise.storage import materialize
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK = 128
+#: A source has at least so many blocks, if it has so many words: small sources have shorter blocks, so that whole blocks come near their targets.
+LEAST_BLOCKS = 256
 #: Slots of an output shard at least, and output shards at most (then they grow).
 SHARD_SLOTS = 8192
 MOST_SHARDS = 65_536
@@ -117,7 +119,8 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, seed
         return None
     sizes = [n for _, n in sources]
     targets = share_out(sizes, weights)
-    blocks = np.array([-(-n // block) for n in sizes], np.int64)
+    widths = [max(1, min(block, n // LEAST_BLOCKS)) for n in sizes]
+    blocks = np.array([-(-n // w) for n, w in zip(sizes, widths, strict=True)], np.int64)
     quota = np.array([round(t * b / n) if n else 0 for t, b, n in zip(targets, blocks.tolist(), sizes, strict=True)], np.int64)
     counts = draw_shards(quota, max(SHARD_SLOTS, -(-int(quota.sum()) // MOST_SHARDS)), seed)
     starts = np.cumsum(counts, axis=0) - counts
@@ -132,21 +135,21 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK, seed
                 key = mix((j // n).astype(np.uint64) * np.uint64(1 << 20) + source.astype(np.uint64), seed)
                 yield pa.RecordBatch.from_pydict({"source_no": pa.array(source.astype(np.int32)), "block": pa.array(permute(j % n, n, key))})
 
-    rows = [(i, s, n, t) for i, ((s, n), t) in enumerate(zip(sources, targets, strict=True))]
-    table = spark.createDataFrame(rows, "source_no int, source string, source_size long, target double")
+    rows = [(i, s, n, t, w) for i, ((s, n), t, w) in enumerate(zip(sources, targets, widths, strict=True))]
+    table = spark.createDataFrame(rows, "source_no int, source string, source_size long, target double, width long")
     before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = tally.select("source", "run", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source", "run").orderBy("doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     a, r = spread.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("a"), runs.alias("r")
     placed = a.join(r, F.col("a.source").eqNullSafe(F.col("r.source")) & (F.col("a.run") == F.col("r.run"))).select("doc_id", "size", "key", "a.source", (F.col("before") + F.col("inside")).alias("begin")).alias("p")
-    placed = placed.join(table.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("doc_id", "size", "key", "p.source", "source_no", "source_size", "target", "begin")
+    placed = placed.join(table.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("doc_id", "size", "key", "p.source", "source_no", "source_size", "target", "width", "begin")
     placed = materialize(placed, "placed")
 
     times = spark.range(len(counts), numPartitions=max(1, min(len(counts), 4096))).mapInArrow(slots, "source_no int, block long").groupBy("source_no", "block").agg(F.count("*").alias("times"))
     times = times.hint("merge")  # or the planner would take the table for as small as the range of shards, and broadcast it
-    cut = placed.where("size > 0").select("source_no", "begin", "size", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")).alias("block"))
-    part_from = F.greatest(F.col("begin"), F.col("block") * block) - F.col("begin")
-    part_to = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.col("begin")
+    cut = placed.where("size > 0").select("source_no", "begin", "size", "width", F.explode(F.expr("sequence(begin div width, (begin + size - 1) div width)")).alias("block"))
+    part_from = F.greatest(F.col("begin"), F.col("block") * F.col("width")) - F.col("begin")
+    part_to = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * F.col("width")) - F.col("begin")
     return Plan(placed, cut.select("source_no", "begin", "block", part_from.alias("part_from"), part_to.alias("part_to")), times)
 
 
