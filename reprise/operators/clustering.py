@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reprise.operators.components import connected_components
+from reprise.storage import materialize
 
 
 def members(pairs: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -24,7 +25,7 @@ def summarize(member_rows: DataFrame, sequences: DataFrame, pairs: DataFrame, th
 
     sequences: id, n and the columns that order locations (file, start_line, start_offset; those that are there). The primary is the first by location.
     Where member_rows has count (sequences that a member stands for), n_sequences is their sum, savings are of all of them, and a
-    member that stands for several is a cluster by itself.
+    member that stands for several is a cluster by itself. Where pairs have weight (pairs of sequences that one stands for), so do counts and means.
     """
     weighed = "count" in member_rows.columns
     order = [F.coalesce(F.col(c), F.lit("") if kind == "string" else F.lit(0)) for c, kind in sequences.dtypes if c in ("file", "start_line", "start_col", "end_line", "end_col", "start_offset")]
@@ -32,7 +33,8 @@ def summarize(member_rows: DataFrame, sequences: DataFrame, pairs: DataFrame, th
     weight = F.col("count") if weighed else F.lit(1)
     size = rows.groupBy("cluster_id").agg(F.count("*").alias("n_members"), F.sum(weight).alias("n_sequences"), F.sum(F.col("n") * weight).alias("total"), F.min(F.struct("place", "id", "n")).alias("first"))
     own = pairs.where(F.col("overall") >= threshold).join(member_rows.select(F.col("id").alias("id1"), "cluster_id"), "id1")
-    score = own.groupBy("cluster_id").agg(F.count("*").alias("n_pairs"), F.avg("overall").alias("avg_similarity"))
+    times = F.col("weight") if "weight" in pairs.columns else F.lit(1)
+    score = own.groupBy("cluster_id").agg(F.sum(times).cast("long").alias("n_pairs"), (F.sum(F.col("overall") * times) / F.sum(times)).alias("avg_similarity"))
     out = size.where("n_sequences >= 2").join(score, "cluster_id", "left")
     loc = saving(F.col("total"), F.col("first.n"), F.col("n_sequences"))
     sequences_ = ["n_sequences"] if weighed else []
@@ -69,6 +71,11 @@ def work_order(rows: DataFrame) -> DataFrame:
     rank = F.lit(0)
     for name, value in RANKS.items():
         rank = F.when(F.col("strategy") == name, F.lit(value)).otherwise(rank)
-    # one row a cluster; the place is global by definition
-    order = Window.orderBy(rank.desc(), F.desc("loc_reduction"), F.desc("n_members"), F.desc("avg_similarity"), "primary_id")
-    return rows.withColumn("place", F.row_number().over(order))
+    keys = [(-rank).alias("_1"), (-F.col("loc_reduction")).alias("_2"), (-F.col("n_members")).alias("_3"), (-F.col("avg_similarity")).alias("_4"), F.col("primary_id").alias("_5")]
+    # sorted by ranges of the whole order; a place is one inside its range and the rows of the ranges before it, whose counts are one row a range
+    marked = rows.withColumn("_order", F.struct(*keys))
+    dealt = materialize(marked.repartitionByRange("_order").withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_order"))
+    return dealt.withColumn("_inside", inside).join(before, "_part").withColumn("place", (F.col("_before") + F.col("_inside")).cast("int")).drop("_order", "_part", "_inside", "_before")

@@ -39,20 +39,22 @@ def shingles(tokens: Column, k: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " ")))
 
 
-def portable_signatures(df: DataFrame, key: str, shingle_column: str, hashes: int) -> DataFrame:
-    """(key, slot, value): the least hash of each function over a set of shingles. Partial minima are taken before the shuffle."""
+def portable_wide(df: DataFrame, key: str, shingle_column: str, hashes: int) -> DataFrame:
+    """(key, m0, m1, ..): the least hash of each function over a set of shingles, one row a key. Partial minima are taken before the shuffle."""
     # the outer form, as the optimiser would put a copy of the shingles' whole expression in a filter before the inner one
     rows = df.select(key, F.explode_outer(shingle_column).alias("s")).where("s is not null").select(key, portable_hash(F.col("s")).alias("h"))
-    least = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(seeds(hashes))]
-    wide = rows.groupBy(key).agg(*least)
+    return rows.groupBy(key).agg(*[F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(seeds(hashes))])
+
+
+def portable_signatures(wide: DataFrame, key: str, hashes: int) -> DataFrame:
+    """(key, slot, value) of portable_wide's rows."""
     return wide.select(key, F.posexplode(F.array(*[F.col(f"m{i}") for i in range(hashes)])).alias("slot", "value"))
 
 
-def portable_buckets(signatures: DataFrame, key: str, rows_per_band: int) -> DataFrame:
-    """(key, band, bucket) from portable signatures."""
-    banded = signatures.withColumn("band", F.expr(f"slot div {rows_per_band}").cast("int")).groupBy(key, "band")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "value"))), lambda x: x["value"].cast("string")), "-")
-    return banded.agg(F.md5(text).alias("bucket"))
+def portable_buckets(wide: DataFrame, key: str, bands: int, rows_per_band: int) -> DataFrame:
+    """(key, band, bucket) of portable_wide's rows, without a further shuffle."""
+    made = [F.md5(F.concat_ws("-", *[F.col(f"m{b * rows_per_band + r}") for r in range(rows_per_band)])) for b in range(bands)]
+    return wide.select(key, F.posexplode(F.array(*made)).alias("band", "bucket"))
 
 
 def _check(bands: int, rows_per_band: int, hashes: int) -> None:
@@ -119,9 +121,3 @@ def candidate_pairs(buckets: DataFrame, key: str) -> DataFrame:
 def estimate(a: Column, b: Column) -> Column:
     """The share of equal slots of two signatures."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
-
-
-def bucket_links(buckets: DataFrame, key: str) -> DataFrame:
-    """(id1, id2): each key of a bucket with the bucket's smallest: what connects a bucket, in as many rows as it has."""
-    low = buckets.groupBy("band", "bucket").agg(F.min(key).alias("id1"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return buckets.join(low, ["band", "bucket"]).where(F.col(key) != F.col("id1")).select("id1", F.col(key).alias("id2")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right, insort
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,35 +12,44 @@ from pyspark.sql import functions as F
 PRIORITY = (("escapes", True), ("full_body", False), ("span", False), ("n1", False), ("start1", True), ("overall", False), ("start2", True), ("id1", True), ("id2", True))
 
 
-def choose(pairs: list[dict]) -> list[dict]:
-    """pairs in priority order, of one pair of containers; keep those that meet no kept one on either side."""
-    kept: list[dict] = []
-    for p in pairs:
-        if not any((p["start1"] <= k["end1"] and k["start1"] <= p["end1"]) or (p["start2"] <= k["end2"] and k["start2"] <= p["end2"]) for k in kept):
-            kept.append(p)
-    return kept
+def _free(kept: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a range meets none of the kept ones, which are sorted and don't meet each other."""
+    k = bisect_right(kept, (start, 1 << 62))
+    return not ((k and kept[k - 1][1] >= start) or (k < len(kept) and kept[k][0] <= end))
 
 
-def non_overlapping(pairs: DataFrame) -> DataFrame:
-    """pairs: id1, id2, box1, box2 (containers), start1, end1, start2, end2, n1, overall, and optionally escapes, full_body.
+def choose(starts1, ends1, starts2, ends2) -> list[int]:
+    """The places of the pairs that are kept; pairs come in priority order, and one is kept if it meets no kept one on either side."""
+    kept: tuple[list, list] = ([], [])
+    out = []
+    for i, (s1, e1, s2, e2) in enumerate(zip(starts1, ends1, starts2, ends2, strict=True)):
+        if _free(kept[0], s1, e1) and _free(kept[1], s2, e2):
+            insort(kept[0], (s1, e1))
+            insort(kept[1], (s2, e2))
+            out.append(i)
+    return out
 
-    Sides are put in order of container first, so unordered groups compare like with like. The choice is sequential in
-    a group; a group is the pairs of two containers, which their lengths bound.
+
+def non_overlapping(pairs: DataFrame, *more: str) -> DataFrame:
+    """pairs: id1, id2, box1, box2 (containers), start1, end1, start2, end2, n1, n2, overall; optionally full_body1, full_body2, escapes1, escapes2, twin.
+
+    Sides are put in order of container (and place, inside one) first, so unordered groups compare like with like. The choice is sequential in a group; a
+    group is the pairs of two containers, which their lengths bound; each step looks up its neighbours among those kept. ``twin``: whether box2 is a copy of
+    box1 rather than itself. ``more``: stems of further columns with a side 1 and 2, which change places with their sides.
     """
-    for name, value in (("escapes", F.lit(0)), ("full_body", F.lit(False))):
+    for name, value in (("escapes1", F.lit(0)), ("escapes2", F.lit(0)), ("full_body1", F.lit(False)), ("full_body2", F.lit(False)), ("twin", F.lit(False)), ("n2", F.col("n1"))):
         if name not in pairs.columns:
             pairs = pairs.withColumn(name, value)
-    turned = F.col("box1") > F.col("box2")
+    turned = F.struct("box1", "start1", "id1") > F.struct("box2", "start2", "id2")
     sides = []
-    for stem in ("id", "box", "start", "end"):
+    for stem in ("id", "box", "start", "end", "n", *more):
         sides += [F.when(turned, F.col(f"{stem}{3 - k}")).otherwise(F.col(f"{stem}{k}")).alias(f"{stem}{k}") for k in (1, 2)]
-    rows = pairs.select(*sides, "n1", "overall", "escapes", "full_body")
-    rows = rows.withColumn("span", F.col("end1") - F.col("start1"))
+    first = [F.when(turned, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(c) for c in ("escapes", "full_body")]
+    rows = pairs.select(*sides, "overall", *first, "twin").withColumn("span", F.col("end1") - F.col("start1"))
 
-    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups:
-            names, order = zip(*PRIORITY, strict=True)
-            g = g.sort_values(list(names), ascending=list(order), kind="stable")
-            yield pd.DataFrame(choose(g.to_dict("records")), columns=g.columns)
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        names, order = zip(*PRIORITY, strict=True)
+        g = g.sort_values(list(names), ascending=list(order), kind="stable")
+        return g.iloc[choose(*(g[c].tolist() for c in ("start1", "end1", "start2", "end2")))]
 
-    return rows.groupBy("box1", "box2").applyInPandas(lambda g: next(run(iter([g]))), rows.schema)
+    return rows.groupBy("box1", "box2", "twin").applyInPandas(run, rows.schema)

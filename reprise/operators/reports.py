@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def file_report(files: DataFrame, pairs: DataFrame, clusters: DataFrame | None = None, sequences: DataFrame | None = None) -> DataFrame:
-    """A row for each file, zeros where it has nothing: duplicates, avg_similarity, clusters, loc_reduction, strategies, total_sequences.
+def file_report(files: DataFrame, pairs: DataFrame, clusters: DataFrame | None = None, sequences: DataFrame | None = None, candidates: int | None = None) -> DataFrame:
+    """A row for each file, zeros where it has nothing: duplicates, avg_similarity, clusters, loc_reduction, strategies, total_sequences, candidates_analyzed.
 
-    files: file; pairs: file1, file2, overall; clusters: cluster_id, file, loc_reduction, strategy (a row for each member file); sequences: file.
+    files: file; pairs: file1, file2, overall; clusters: cluster_id, file, loc_reduction, strategy (a row for each member file or more); sequences: file, and
+    total_sequences where they are counted already. ``candidates`` is the project's number, which every file repeats.
     """
     each = pairs.select(F.explode(F.array_distinct(F.array("file1", "file2"))).alias("file"), "overall")
     out = files.select("file").distinct().join(each.groupBy("file").agg(F.count("*").alias("duplicates"), F.avg("overall").alias("avg_similarity")), "file", "left")
@@ -20,13 +21,17 @@ def file_report(files: DataFrame, pairs: DataFrame, clusters: DataFrame | None =
         out = out.join(own.groupBy("file").agg(F.count("*").alias("clusters"), F.sum("loc_reduction").alias("loc_reduction"), F.array_join(F.array_sort(F.collect_set("strategy")), ";").alias("strategies")), "file", "left")
         out = out.withColumn("strategies", F.coalesce("strategies", F.lit("NONE")))
     if sequences is not None:
-        out = out.join(sequences.groupBy("file").agg(F.count("*").alias("total_sequences")), "file", "left")
+        n = F.sum("total_sequences") if "total_sequences" in sequences.columns else F.count("*")
+        out = out.join(sequences.groupBy("file").agg(n.alias("total_sequences")), "file", "left")
+    if candidates is not None:
+        out = out.withColumn("candidates_analyzed", F.lit(candidates).cast("long"))
     return out.na.fill(0).na.fill(0.0)
 
 
 def project_metrics(report: DataFrame) -> DataFrame:
-    """Sums over the rows of files, in which a pair over two files counts twice."""
+    """Sums over the rows of files, in which a pair over two files counts twice; candidates are the project's, once."""
     whole = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("duplicates", "clusters", "loc_reduction", "total_sequences") if c in report.columns]
+    whole += [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("candidates_analyzed",) if c in report.columns]
     return report.agg(F.count("*").alias("total_files"), *whole, F.coalesce(F.sum(F.col("avg_similarity") * F.col("duplicates")) / F.nullif(F.sum("duplicates"), F.lit(0)), F.lit(0.0)).alias("avg_similarity"))
 
 

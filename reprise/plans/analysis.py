@@ -1,91 +1,213 @@
-"""The analysis end to end: units, windows, classes of equal windows, candidates, scores, clusters, reports."""
+"""The analysis end to end: units, windows, classes of equal windows, candidates, scores, places, clusters.
+
+Bodies are rows (container_id, units) and, where there is more to say, file, block_no (a container may have several blocks of units), kind,
+norm and fuzzy (normal forms of the units), tokens (what signatures are of), starts and ends (lines of the units).
+Without them a container is its own file and block, normal forms are those of prose, and lines are places of units.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reprise.config import Settings
 from reprise.functions.normalize import fuzzy
-from reprise.operators import clustering, lsh, overlap, pairs, similarity, windows
+from reprise.operators import candidates, clustering, overlap, pairs, similarity, windows
 from reprise.storage import materialize
 
+SPOT = ("seq_id", "file", "container_id", "block_no", "start_offset", "n", "start_line", "end_line", "full_body")
+
 
 @dataclass
 class Analysis:
-    sequences: DataFrame  # seq_id, container_id, start_offset, n, class_id
-    classes: DataFrame  # class_id (the seq_id of the first by place), n, norm, fuzzy, count
-    scored: DataFrame  # id1, id2 (class ids), lcs, lev, positional, overall
-    members: DataFrame  # cluster_id, id (class ids), count (sequences of the class)
-    clusters: DataFrame  # n_members counts classes, n_sequences their sequences, which loc_reduction is of
+    bodies: DataFrame  # as given, with every column
+    sequences: DataFrame  # SPOT, key
+    classes: DataFrame  # key, class_id (the seq_id of the first by place), n, count, first, last (places), norm_h, fuzzy_h
+    scored: DataFrame  # id1, id2 (class ids), lcs, lev, positional, overall, can_refactor: classes that have places apart
     pairs: DataFrame  # scored, and each class of several sequences with itself at score 1; count1, count2: sequences of each side
+    boxes: DataFrame  # container_id, box (the first container with the same sequences), copies (containers of the box)
+    chosen: DataFrame  # pairs of places that don't overlap
+    members: DataFrame  # cluster_id, id (a sequence of a box), count (copies it stands for), box, block_no, start_offset, n, start_line, end_line
+    clusters: DataFrame  # n_members counts sequences of boxes, n_sequences all, which loc_reduction is of
+
+
+def with_defaults(bodies: DataFrame) -> DataFrame:
+    lines = F.transform("units", lambda u, i: i)
+    out = bodies
+    for name, make in (
+        ("file", lambda: F.col("container_id")), ("block_no", lambda: F.lit(0)), ("norm", lambda: F.transform("units", lambda u: fuzzy(u))), ("fuzzy", lambda: F.col("norm")),
+        ("tokens", lambda: F.col("norm")), ("starts", lambda: lines), ("ends", lambda: lines),
+    ):
+        if name not in out.columns:
+            out = out.withColumn(name, make())
+    return out
 
 
 def sequence_table(bodies: DataFrame, settings: Settings) -> DataFrame:
-    """bodies: container_id, units (and kind). Adds normal forms before windows are cut, so that each unit is normalised once."""
-    rows = bodies.select("*", F.transform("units", lambda u: fuzzy(u)).alias("norm"))
-    found = windows.sequences(rows, settings.min_units, settings.window_growth, settings.maximal_only)
-    start = F.col("start_offset")
+    """SPOT, key, norm_h, fuzzy_h per window. Units are normalised and hashed once, before windows are cut; windows carry hashes, not text."""
+    hashed = bodies.withColumns({f"{c}_h": F.transform(c, lambda u: F.xxhash64(u)) for c in ("norm", "fuzzy")})
+    found = windows.sequences(hashed, settings.min_units, settings.window_growth, settings.maximal_only)
+    start, n = F.col("start_offset"), F.col("n")
     return found.select(
-        F.xxhash64("container_id", "start_offset", "n").alias("seq_id"), "container_id", start.cast("int").alias("start_offset"), F.col("n").cast("int").alias("n"), "full_body",
-        F.slice("norm", start + 1, F.col("n")).alias("norm"),
+        F.xxhash64("container_id", F.col("block_no").cast("int"), start.cast("int"), n.cast("int")).alias("seq_id"), "file", "container_id", F.col("block_no").cast("int").alias("block_no"),
+        start.cast("int").alias("start_offset"), n.cast("int").alias("n"), F.element_at("starts", start + 1).alias("start_line"), F.element_at("ends", start + n).alias("end_line"),
+        "full_body", windows.window_key(F.slice("norm", start + 1, n)).alias("key"), *(F.slice(f"{c}_h", start + 1, n).alias(f"{c}_h") for c in ("norm", "fuzzy")),
+    )
+
+
+def _meet(a: Column, b: Column) -> Column:
+    return pairs.overlaps(a["file"], b["file"], a["container_id"], b["container_id"], a["start_line"], a["end_line"], b["start_line"], b["end_line"])
+
+
+def apart(first1: Column, last1: Column, first2: Column, last2: Column) -> Column:
+    """(a, b): places of two classes that don't overlap, or null where all do. Of any two classes with places apart, firsts and lasts have some."""
+    tries = ((first1, first2), (first1, last2), (last1, first2))
+    return F.coalesce(*(F.when(~_meet(a, b), F.struct(a.alias("a"), b.alias("b"))) for a, b in tries))
+
+
+def classes_of(seqs: DataFrame) -> DataFrame:
+    place = F.struct("container_id", "start_line", "block_no", "start_offset", "n")
+    spot = F.struct(*SPOT)
+    found = seqs.groupBy("key").agg(
+        F.min_by(spot, place).alias("first"), F.max_by(spot, place).alias("last"), F.count("*").alias("count"), F.any_value("n").alias("n"), F.any_value("norm_h").alias("norm_h"), F.any_value("fuzzy_h").alias("fuzzy_h")
     )
+    return found.select("key", F.col("first.seq_id").alias("class_id"), "n", "count", "first", "last", "norm_h", "fuzzy_h")
+
+
+def class_texts(classes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(class_id, tokens): the units of each class's first place, cut from its body."""
+    at = classes.select("class_id", F.col("first.container_id").alias("container_id"), F.col("first.block_no").alias("block_no"), F.col("first.start_offset").alias("start_offset"), "n")
+    rows = at.join(bodies.select("container_id", F.col("block_no").cast("int").alias("block_no"), "tokens"), ["container_id", "block_no"])
+    return rows.select("class_id", F.slice("tokens", F.col("start_offset") + 1, F.col("n")).alias("tokens"))
+
 
+def containers(seqs: DataFrame) -> DataFrame:
+    """(container_id, box, copies): containers whose sequences are the same share a box, the first of them."""
+    place = F.struct("block_no", "start_offset", "n", "start_line", "end_line", "key")
+    rows = materialize(seqs.groupBy("container_id").agg(F.md5(F.to_json(F.array_sort(F.collect_list(place)))).alias("key")), "contents")
+    groups = materialize(rows.groupBy("key").agg(F.min("container_id").alias("box"), F.count("*").alias("copies")), "boxes")
+    return rows.join(groups, "key").select("container_id", "box", "copies")
 
-def analyse(bodies: DataFrame, settings: Settings | None = None) -> Analysis:
-    """Near-duplicate windows of all bodies (container_id, units).
 
-    Equal windows are one class; candidates, scores and links are between classes, so copies cost one row each and
-    never meet in pairs. Classes of unequal sizes score 0, so size is part of the join. A class of several sequences is linked
-    to itself at score 1, and is a cluster even without a near class; sequences.class_id says which sequences a class has.
+def _placed(rows: DataFrame, boxes: DataFrame) -> DataFrame:
+    """rows (a, b: spots; class1, class2, overall) as pairs of places of boxes, sides 1 and 2."""
+    for k, side in ((1, "a"), (2, "b")):
+        own = boxes.select(F.col("container_id").alias(f"c{k}"), F.col("box").alias(f"box{k}"), F.col("copies").alias(f"copies{k}"))
+        rows = rows.withColumn(f"c{k}", F.col(f"{side}.container_id")).join(own, f"c{k}")
+    sides = []
+    for k, side in ((1, "a"), (2, "b")):
+        s = F.col(side)
+        sides += [F.xxhash64(f"box{k}", s["block_no"], s["start_offset"], s["n"]).alias(f"id{k}"), f"box{k}", f"copies{k}", s["start_line"].alias(f"start{k}"), s["end_line"].alias(f"end{k}"), s["n"].alias(f"n{k}"), s["full_body"].alias(f"full_body{k}"), s["block_no"].alias(f"block{k}"), s["start_offset"].alias(f"offset{k}"), F.col(f"class_{k}").alias(f"class{k}")]
+    twin = (F.col("box1") == F.col("box2")) & (F.col("c1") != F.col("c2"))
+    return rows.select(*sides, "overall", twin.alias("twin"))
+
+
+def placed_pairs(seqs: DataFrame, classes: DataFrame, scored: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Pairs of places that the links between classes stand for, as many as classes' links and sequences.
+
+    Near classes are linked at two of their places that are apart. A class's places in distinct containers are each linked to its first one;
+    a container's copies are linked to it place by place (twin). What is left out links nothing that these don't.
     """
+    near = scored.select("id1", "id2", "overall", "spots").select("spots.a", "spots.b", F.col("id1").alias("class_1"), F.col("id2").alias("class_2"), "overall")
+    many = materialize(classes.where("count > 1").select("key", "class_id", "first"), "many")
+    held = seqs.join(boxes.where("container_id = box").select("container_id", "copies"), "container_id").withColumn("b", F.struct(*SPOT))
+    stars = held.join(many, "key").where(F.col("seq_id") != F.col("class_id")).select(F.col("first").alias("a"), "b", F.col("class_id").alias("class_1"), F.col("class_id").alias("class_2"), F.lit(1.0).alias("overall"))
+    stars = stars.where(~_meet(F.col("a"), F.col("b")))
+    rows = _placed(near.unionByName(stars), boxes)
+    ids = classes.select("key", "class_id")
+    copies = held.where("copies > 1").join(ids, "key")
+    sides = []
+    for k in (1, 2):
+        sides += [F.col("seq_id").alias(f"id{k}"), F.col("container_id").alias(f"box{k}"), F.col("copies").alias(f"copies{k}"), F.col("start_line").alias(f"start{k}"), F.col("end_line").alias(f"end{k}"), F.col("n").alias(f"n{k}"), F.col("full_body").alias(f"full_body{k}"), F.col("block_no").alias(f"block{k}"), F.col("start_offset").alias(f"offset{k}"), F.col("class_id").alias(f"class{k}")]
+    twins = copies.select(*sides, F.lit(1.0).alias("overall"), F.lit(True).alias("twin"))
+    return rows.unionByName(twins)
+
+
+@dataclass
+class Scored:
+    bodies: DataFrame
+    sequences: DataFrame  # with norm_h, fuzzy_h
+    classes: DataFrame
+    scored: DataFrame  # with spots: two places apart
+    pairs: DataFrame
+
+
+def score_classes(bodies: DataFrame, settings: Settings | None = None) -> Scored:
+    """Windows, their classes and the scored pairs of classes; the part of the analysis that comes before places are chosen."""
     s = settings or Settings()
-    seqs = materialize(sequence_table(bodies, s).withColumn("key", windows.window_key(F.col("norm"))), "sequences")
-    classes = materialize(seqs.groupBy("key").agg(F.min_by("seq_id", F.struct("container_id", "start_offset", "n")).alias("class_id"), F.count("*").alias("count"), F.first("n").alias("n"), F.first("norm").alias("norm")), "classes")
+    bodies = materialize(with_defaults(bodies), "bodies")
+    seqs = materialize(sequence_table(bodies, s), "sequences")
+    classes = materialize(classes_of(seqs), "classes")
     if s.enable_lsh:
-        buckets = lsh.bucket_rows(classes, "class_id", "norm", s.bands, s.rows_per_band)
-        sized = buckets.join(classes.select("class_id", "n"), "class_id").withColumn("bucket", F.xxhash64("bucket", "n")).drop("n")
-        candidates = lsh.candidate_pairs(sized, "class_id")
+        found = candidates.by_lsh(classes, class_texts(classes, bodies), s.bands, s.rows_per_band, s.prefilter)
     else:
-        a, b = classes.alias("a"), classes.alias("b")
-        candidates = a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.class_id") < F.col("b.class_id"))).select(F.col("a.class_id").alias("id1"), F.col("b.class_id").alias("id2"))
-    arrays = classes.select("class_id", "norm")
-    both = candidates.join(arrays.select(F.col("class_id").alias("id1"), F.col("norm").alias("units1")), "id1").join(arrays.select(F.col("class_id").alias("id2"), F.col("norm").alias("units2")), "id2")
-    both = both.where(pairs.structural_filter(F.col("units1"), F.col("units2"), s.prefilter))
-    scored = materialize(pairs.above(similarity.score_pairs(both, weights=s.weights), s.threshold), "scored")
+        found = candidates.exhaustive(classes, s.prefilter)
+    scored = materialize(pairs.above(similarity.score_pairs(found.drop("n"), "norm_h1", "norm_h2", s.weights), s.threshold), "scores")
+    scored = materialize(with_spots(scored, classes), "scored")
     one = F.lit(1.0)
-    same = classes.where(F.col("count") > 1).select(F.col("class_id").alias("id1"), F.col("class_id").alias("id2"), "count")
-    selves = same.select("id1", "id2", one.alias("lcs"), one.alias("lev"), one.alias("positional"), one.alias("overall"), F.lit(True).alias("can_refactor"))
-    linked = scored.unionByName(selves)
-    for k in (1, 2):
-        linked = linked.join(classes.select(F.col("class_id").alias(f"id{k}"), F.col("count").alias(f"count{k}")), f"id{k}")
-    near = clustering.members(scored, s.threshold)
-    alone = same.join(near.select(F.col("id").alias("id1")), "id1", "left_anti").select(F.col("id1").alias("cluster_id"), F.col("id1").alias("id"))
-    member_rows = materialize(near.unionByName(alone).join(classes.select(F.col("class_id").alias("id"), "count"), "id").select("cluster_id", "id", "count"), "members")
-    summary = clustering.summarize(member_rows, classes.select(F.col("class_id").alias("id"), "n"), scored.unionByName(selves), s.threshold)
-    return Analysis(seqs.join(classes.select("key", "class_id"), "key").drop("key", "norm"), classes.drop("key"), scored, member_rows, summary, linked.select(*selves.columns, "count1", "count2"))
+    same = classes.where((F.col("count") > 1) & ~_meet(F.col("first"), F.col("last")))
+    selves = same.select(F.col("class_id").alias("id1"), F.col("class_id").alias("id2"), *(one.alias(c) for c in ("lcs", "lev", "positional", "overall")), F.lit(True).alias("can_refactor"), F.col("count").alias("count1"), F.col("count").alias("count2"))
+    return Scored(bodies, seqs, classes, scored, scored.drop("spots").unionByName(selves))
 
 
-def container_classes(found: Analysis) -> DataFrame:
-    """(container_id, box): containers whose sequences are the same share a box, the first of them."""
-    place = F.struct("start_offset", "n", "class_id")
-    rows = found.sequences.groupBy("container_id").agg(F.md5(F.to_json(F.array_sort(F.collect_list(place)))).alias("key"))
-    return rows.join(rows.groupBy("key").agg(F.min("container_id").alias("box")), "key").select("container_id", "box")
+def with_spots(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes (id1, id2, ..) that have places apart, with two such places (spots) and count1, count2."""
+    ends = classes.select("class_id", "first", "last", "count")
+    for k in (1, 2):
+        found = found.join(ends.select(F.col("class_id").alias(f"id{k}"), F.col("first").alias(f"first{k}"), F.col("last").alias(f"last{k}"), F.col("count").alias(f"count{k}")), f"id{k}")
+    spots = apart(*(F.col(c) for c in ("first1", "last1", "first2", "last2")))
+    return found.withColumn("spots", spots).where("spots is not null").drop("first1", "last1", "first2", "last2")
 
 
-def chosen_pairs(found: Analysis) -> DataFrame:
-    """Scored pairs and equal windows at all their places, without those that overlap better ones between the same containers.
+def analyse(bodies: DataFrame, settings: Settings | None = None, refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Analysis:
+    """Near-duplicate windows of all bodies.
 
-    Equal containers are one, box; container_classes says which they are. Rows grow with the pairs of distinct containers that share a window.
+    Equal windows are one class; candidates, scores and links are between classes, so copies cost one row each and never meet in pairs.
+    Classes of unequal sizes score 0, so size is part of the join. Classes all of whose places overlap are no pair. Pairs of places are then chosen so
+    that none overlaps a better one between the same containers, and clusters are the components of those. ``refine`` may change
+    the pairs of places before the choice: it gets them and the bodies.
     """
-    boxes = container_classes(found).where("container_id = box").select("container_id")
-    at = materialize(found.sequences.join(boxes, "container_id").select("class_id", "container_id", "start_offset", "n", "full_body"), "places")
-    rows = found.pairs.drop("count1", "count2")
-    for k in (1, 2):
-        side = at.select(F.col("class_id").alias(f"id{k}"), F.col("container_id").alias(f"box{k}"), F.col("start_offset").alias(f"start{k}"), (F.col("start_offset") + F.col("n") - 1).alias(f"end{k}"), F.col("n").alias(f"n{k}"), F.col("full_body").alias(f"full{k}"))
-        rows = rows.join(side, f"id{k}")
-    rows = rows.where((F.col("id1") != F.col("id2")) | (F.struct("box1", "start1") < F.struct("box2", "start2")))
-    free = ~pairs.overlaps(F.col("box1"), F.col("box2"), F.col("box1"), F.col("box2"), F.col("start1"), F.col("end1"), F.col("start2"), F.col("end2"))
-    return overlap.non_overlapping(rows.where(free).withColumn("full_body", F.col("full1")))
+    s = settings or Settings()
+    done = score_classes(bodies, s)
+    bodies, seqs, classes, scored, linked = done.bodies, done.sequences, done.classes, done.scored, done.pairs
+    boxes = materialize(containers(seqs), "containers")
+    placed = placed_pairs(seqs, classes, scored, boxes)
+    if refine:
+        placed = refine(materialize(placed, "placed"), bodies)
+    chosen = materialize(overlap.non_overlapping(placed, "copies", "class", "block", "offset"), "chosen")
+    member_rows, summary = clusters_of(chosen, seqs.select("container_id", "file").distinct(), s.threshold)
+    return Analysis(bodies, seqs.drop("norm_h", "fuzzy_h"), classes, scored.drop("spots", "count1", "count2"), linked, boxes, chosen, member_rows, summary)
+
+
+def clusters_of(chosen: DataFrame, files: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(members, clusters) of chosen pairs of places. A place of a box stands for as many sequences as the box has copies. files: container_id, file."""
+    kept = chosen.where(F.col("overall") >= threshold)
+    near = clustering.members(kept, threshold)
+    sides = [
+        kept.select(F.col(f"id{k}").alias("id"), F.col(f"copies{k}").alias("count"), F.col(f"box{k}").alias("box"), F.col(f"block{k}").alias("block_no"), F.col(f"offset{k}").alias("start_offset"), F.col(f"n{k}").alias("n"), F.col(f"start{k}").alias("start_line"), F.col(f"end{k}").alias("end_line"))
+        for k in (1, 2)
+    ]
+    places = sides[0].unionByName(sides[1]).dropDuplicates(["id"])
+    member_rows = materialize(places.join(near, "id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "id")), "members")
+    m1, m2 = F.col("copies1"), F.col("copies2")
+    weighed = kept.withColumn("weight", F.when(F.col("twin"), m1 * (m1 - 1) / 2).otherwise(m1 * m2).cast("long"))
+    located = member_rows.join(files.withColumnRenamed("container_id", "box"), "box").select("id", "n", "file", "start_line", "start_offset")
+    return member_rows, clustering.summarize(member_rows.select("cluster_id", "id", "count"), located, weighed, threshold)
+
+
+def cluster_files(found: Analysis) -> DataFrame:
+    """(cluster_id, file): the files of all sequences of a cluster, copies included."""
+    files = found.sequences.select("container_id", "file").distinct()
+    return found.members.select("cluster_id", "box").distinct().join(found.boxes, "box").join(files, "container_id").select("cluster_id", "file").distinct()
+
+
+def pair_files(found: Analysis) -> DataFrame:
+    """The chosen pairs with file1 and file2; those of twins are the box's and its copies', a row for each copy."""
+    files = found.sequences.select("container_id", "file").distinct()
+    side1 = files.select(F.col("container_id").alias("box1"), F.col("file").alias("file1"))
+    other = found.boxes.join(files, "container_id").select(F.col("box").alias("box2"), F.col("container_id").alias("c2"), F.col("file").alias("file2"))
+    rows = found.chosen.join(side1, "box1").join(other, "box2")
+    return rows.where(F.when(F.col("twin"), F.col("c2") != F.col("box2")).otherwise(F.col("c2") == F.col("box2"))).drop("c2")

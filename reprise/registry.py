@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reprise.config import Settings
 from reprise.functions import normalize as norm
-from reprise.operators import clustering, lsh, pairs, reports, similarity, variation, windows
+from reprise.operators import candidates, clustering, lsh, pairs, reports, similarity, variation, windows
 from reprise.operators.components import connected_components
 from reprise.plans import analysis
 from reprise.sources import tables
@@ -160,12 +160,12 @@ def _representatives(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-def _signatures(spark: SparkSession, d: str) -> DataFrame:
-    return lsh.portable_signatures(_shingles(spark, d).join(_representatives(spark, d), "doc_id", "left_semi"), "doc_id", "shingles", _SET.hashes)
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    return lsh.portable_wide(_shingles(spark, d).join(_representatives(spark, d), "doc_id", "left_semi"), "doc_id", "shingles", _SET.hashes)
 
 
-def _buckets(spark: SparkSession, d: str) -> DataFrame:
-    return lsh.portable_buckets(_signatures(spark, d), "doc_id", _SET.rows_per_band)
+def _buckets(wide: DataFrame) -> DataFrame:
+    return lsh.portable_buckets(wide, "doc_id", _SET.bands, _SET.rows_per_band)
 
 
 @_query("select doc_id, min(doc_id) over (partition by md5(coalesce(text, ''))) as class_id from documents")
@@ -176,26 +176,25 @@ def copy_classes(spark, d):
 
 @_query(f"with {_SIGS} select doc_id, slot::int as slot, value from sigs")
 def minhash_portable(spark, d):
-    return _signatures(spark, d)
+    return lsh.portable_signatures(_wide(spark, d), "doc_id", _SET.hashes)
 
 
 @_query(f"with {_BUCKETS} select doc_id, band::int as band, bucket from buckets")
 def lsh_buckets(spark, d):
-    return _buckets(spark, d)
+    return _buckets(_wide(spark, d))
 
 
 @_query(f"with {_CANDIDATES} select id1, id2 from cands")
 def lsh_candidates(spark, d):
     """Candidates among distinct texts; copies are in copy_classes."""
-    return lsh.candidate_pairs(materialize(_buckets(spark, d), "buckets"), "doc_id")
+    return lsh.candidate_pairs(materialize(_buckets(_wide(spark, d)), "buckets"), "doc_id")
 
 
 @_query(f"with {_CANDIDATES}, equal as (select id1, id2, count(*) as n from cands join sigs a on a.doc_id = id1 join sigs b on b.doc_id = id2 and a.slot = b.slot where a.value = b.value group by id1, id2) select id1, id2, n / {_SET.hashes}::double as estimate from equal")
 def jaccard_estimates(spark, d):
-    sigs = materialize(_signatures(spark, d), "signatures")
-    found = lsh.candidate_pairs(lsh.portable_buckets(sigs, "doc_id", _SET.rows_per_band), "doc_id")
-    wide = sigs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("s"))
-    a, b = (wide.select(F.col("doc_id").alias(f"id{k}"), F.transform("s", lambda x: x["value"]).alias(f"s{k}")) for k in (1, 2))
+    wide = materialize(_wide(spark, d), "signatures")
+    found = lsh.candidate_pairs(materialize(_buckets(wide), "buckets"), "doc_id")
+    a, b = (wide.select(F.col("doc_id").alias(f"id{k}"), F.array(*[f"m{i}" for i in range(_SET.hashes)]).alias(f"s{k}")) for k in (1, 2))
     return found.join(a, "id1").join(b, "id2").select("id1", "id2", lsh.estimate(F.col("s1"), F.col("s2")).alias("estimate"))
 
 
@@ -209,51 +208,62 @@ def window_classes(spark, d):
     return _keyed(spark, d).groupBy("key", "n").agg(F.count("*").alias("n_sequences"), F.count_distinct("container_id").alias("n_containers"))
 
 
-_LINKS = """links as (select low as id1, container_id as id2, count(*) as n_windows from (select distinct key, container_id from keyed) join
-  (select key, min(container_id) as low from keyed group by key) using (key) where container_id <> low group by low, container_id)"""
+_LINKS = """held as (select distinct key, container_id from keyed), sizes as (select container_id, count(*) as k from held group by container_id),
+  links as (select low as id1, h.container_id as id2, count(*) as n_windows, count(*) / any_value(least(a.k, b.k))::double as overall from held h
+  join (select key, min(container_id) as low from keyed group by key) l using (key) join sizes a on a.container_id = low join sizes b on b.container_id = h.container_id where h.container_id <> low group by low, h.container_id)"""
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    rows = _keyed(spark, d).select("key", "container_id").distinct()
+    """(id1, id2, n_windows, overall): each document with the first one that shares a window; overall is the share of the shorter one's windows that they share."""
+    rows = materialize(_keyed(spark, d).select("key", "container_id").distinct(), "held")
     low = materialize(rows.groupBy("key").agg(F.min("container_id").alias("id1"), F.count("*").alias("n")).where("n > 1").select("key", "id1"), "low")
-    return rows.join(low, "key").where("container_id <> id1").groupBy("id1", F.col("container_id").alias("id2")).agg(F.count("*").alias("n_windows"))
+    links = rows.join(low, "key").where("container_id <> id1").groupBy("id1", F.col("container_id").alias("id2")).agg(F.count("*").alias("n_windows"))
+    sizes = materialize(rows.groupBy("container_id").agg(F.count("*").alias("k")), "sizes")
+    for k in (1, 2):
+        links = links.join(sizes.select(F.col("container_id").alias(f"id{k}"), F.col("k").alias(f"k{k}")), f"id{k}")
+    return links.select("id1", "id2", "n_windows", (F.col("n_windows") / F.least("k1", "k2")).alias("overall"))
 
 
-@_query(f"{_CLASSES}, {_LINKS} select id1, id2, n_windows from links")
+@_query(f"{_CLASSES}, {_LINKS} select id1, id2, n_windows, overall from links")
 def exact_window_links(spark, d):
     """Each document with the first one that shares a window: what connects all that share it, in one row a document and window."""
-    return _links(spark, d)
+    return _links(spark, d).select("id1", "id2", "n_windows", "overall")
 
 
-_COMPONENTS = """, sides as (select id1 as a, id2 as b from links union select id2, id1 from links),
+def _reached(table: str) -> str:
+    return f""", sides as (select id1 as a, id2 as b from {table} union select id2, id1 from {table}),
   reach as (select a as node, a as seen from sides union select r.node, s.b from reach r join sides s on r.seen = s.a),
   comps as (select node, min(seen) as component from reach group by node)"""
 
 
-@_query(f"{_CLASSES.replace('with ', 'with recursive ', 1)}, {_LINKS}{_COMPONENTS} select node, component from comps")
+@_query(f"{_CLASSES.replace('with ', 'with recursive ', 1)}, {_LINKS}{_reached('links')} select node, component from comps")
 def components(spark, d):
     return connected_components(_links(spark, d))
 
 
 def _cluster_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, members, sizes) of clusters of documents: those that share at least the threshold's part of their windows."""
     links = materialize(_links(spark, d), "links")
-    member = clustering.members(links.withColumn("overall", F.lit(1.0)))
-    return links.withColumn("overall", F.lit(1.0)), member, _bodies(spark, d).select(F.col("container_id").alias("id"), F.size("units").alias("n"))
+    member = materialize(clustering.members(links, _SET.threshold), "members")
+    return links, member, _bodies(spark, d).select(F.col("container_id").alias("id"), F.size("units").alias("n"))
 
 
-_CLUSTERS = f"""{_CLASSES.replace('with ', 'with recursive ', 1)}, {_LINKS}{_COMPONENTS}, sized as (select component as cluster_id, node, len(units) as n from comps join bodies on node = container_id),
+_CLUSTERS = f"""{_CLASSES.replace('with ', 'with recursive ', 1)}, {_LINKS}, near as (select * from links where overall >= 0.75::double){_reached('near')}, sized as (select component as cluster_id, node, len(units) as n from comps join bodies on node = container_id),
   totals as (select cluster_id, count(*) as n_members, sum(n) as total, min_by(node, (n, node)) as primary_id, min(n) as n_primary from sized group by cluster_id),
-  links_of as (select component as cluster_id, count(*) as n_pairs from links join comps on id1 = node group by component),
-  clusters as (select cluster_id, primary_id, n_members, n_pairs, greatest(0, total - n_primary - (n_members - 1) - 1)::bigint as loc_reduction, 1.0::double as avg_similarity from totals join links_of using (cluster_id))"""
+  links_of as (select component as cluster_id, count(*) as n_pairs, round(avg(overall), 6) as avg_similarity from near join comps on id1 = node group by component),
+  clusters as (select cluster_id, primary_id, n_members, n_pairs, greatest(0, total - n_primary - (n_members - 1) - 1)::bigint as loc_reduction, avg_similarity from totals join links_of using (cluster_id))"""
+
+
+def _cluster_rows(links: DataFrame, member: DataFrame, sizes: DataFrame) -> DataFrame:
+    return clustering.summarize(member, sizes, links, _SET.threshold).withColumn("avg_similarity", F.round("avg_similarity", 6))
 
 
 @_query(f"{_CLUSTERS} select cluster_id, primary_id, n_members, n_pairs, loc_reduction, avg_similarity from clusters")
 def cluster_primary_loc(spark, d):
-    links, member, sizes = _cluster_members(spark, d)
-    return clustering.summarize(member, sizes, links)
+    return _cluster_rows(*_cluster_members(spark, d))
 
 
-@_query(f"{_CLUSTERS} select cluster_id, row_number() over (order by loc_reduction desc, n_members desc, primary_id)::int as place from clusters")
+@_query(f"{_CLUSTERS} select cluster_id, row_number() over (order by loc_reduction desc, n_members desc, avg_similarity desc, primary_id)::int as place from clusters")
 def work_order(spark, d):
     rows = cluster_primary_loc(spark, d).withColumn("strategy", F.lit("EXTRACT_HELPER_METHOD"))
     return clustering.work_order(rows).select("cluster_id", "place")
@@ -266,26 +276,40 @@ _SPLITS = f"{_CLUSTERS}, spots as (select cluster_id, source as file, count(*) a
 def clusters_by_file(spark, d):
     """A source stands for a file."""
     links, member, sizes = _cluster_members(spark, d)
-    rows = clustering.summarize(member, sizes, links)
+    rows = _cluster_rows(links, member, sizes)
     files = tables.read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"))
     return clustering.split_by_file(rows, member, files)
 
 
 # --- pairs and scores --------------------------------------------------------------------------------------------------
 
-_BLOCKS = f"""{_CLASSES}, classes as (select key, any_value(n) as n, any_value(win) as win from keyed group by key), firsts as (select n, win[1] as lead, min(key) as key1 from classes group by n, win[1]),
-  pairs as (select c.n, key1 as id1, c.key as id2, a.win as w1, c.win as w2 from classes c join firsts f on c.n = f.n and c.win[1] = f.lead and c.key <> f.key1 join classes a on a.key = f.key1)"""
+_MET = f"""{_CLASSES}, classes as (select key, any_value(n) as n, any_value(win) as win from keyed group by key),
+  spots as (select key, n, i as spot, win[i] as unit from classes, unnest(range(1, n + 1)) as t(i)),
+  met as (select a.key as id1, b.key as id2, a.n as n from spots a join spots b on a.n = b.n and a.spot = b.spot and a.unit = b.unit and a.key < b.key group by a.key, b.key, a.n having count(*) >= a.n * 0.5::double)"""
+_BLOCKS = f"""{_MET}, free as (select distinct id1, id2 from met join keyed a on a.key = id1 join keyed b on b.key = id2
+  where a.container_id <> b.container_id or a.start_offset > b.start_offset + b.n - 1 or b.start_offset > a.start_offset + a.n - 1),
+  pairs as (select m.n as n, id1, id2, a.win as w1, b.win as w2 from met m join free using (id1, id2) join classes a on a.key = id1 join classes b on b.key = id2)"""
+
+
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of equal windows, named by their keys, as the analysis makes them."""
+    bodies = materialize(analysis.with_defaults(_bodies(spark, d)), "bodies")
+    classes = analysis.classes_of(analysis.sequence_table(bodies, Settings()).where("not full_body")).withColumn("class_id", F.col("key"))
+    texts = _keyed(spark, d).groupBy("key").agg(F.any_value("win").alias("win"))
+    return materialize(classes.join(texts, "key"), "classes")
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Window classes of one size with the same first unit, each with the first of them: equi-joins, one row a class."""
-    classes = _keyed(spark, d).groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("win").alias("win")).withColumn("lead", F.element_at("win", 1))
-    first = classes.groupBy("n", "lead").agg(F.min(F.struct(F.col("key").alias("id1"), F.col("win").alias("w1"))).alias("f"))
-    return classes.join(first, ["n", "lead"]).where(F.col("key") != F.col("f.id1")).select("n", "f.id1", F.col("key").alias("id2"), "f.w1", F.col("win").alias("w2"))
+    """(id1, id2, n, w1, w2, norm_h1, norm_h2): all pairs of window classes of one size with half of their places equal and two places apart."""
+    classes = _classes(spark, d)
+    found = analysis.with_spots(candidates.exhaustive(classes, _SET.prefilter), classes).drop("spots", "count1", "count2")
+    for k in (1, 2):
+        found = found.join(classes.select(F.col("class_id").alias(f"id{k}"), F.col("win").alias(f"w{k}")), f"id{k}")
+    return found
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.score_pairs(_pairs(spark, d), "w1", "w2")
+    return similarity.score_pairs(_pairs(spark, d).drop("w1", "w2"), "norm_h1", "norm_h2")
 
 
 @_query(f"{_BLOCKS} select n, id1, id2 from pairs")
@@ -293,8 +317,6 @@ def candidates_equal_size(spark, d):
     return _pairs(spark, d).select("n", "id1", "id2")
 
 
-
-
 def _dp(kind: str) -> str:
     """SQL of a dynamic programme over w1 and w2, by recursion over w1's units; each step makes a row of it."""
     n = "len(w2)"
@@ -341,20 +363,13 @@ def threshold_pairs(spark, d):
     return pairs.above(_scored(spark, d), _SET.threshold).select("id1", "id2", "overall")
 
 
-_LINE_PAIRS = """lined as (select doc_id, source, length(text) - length(replace(text, chr(10), '')) + 1 as n from documents where text is not null),
-  lead as (select source, min_by(doc_id, (n, doc_id)) as id1, min(n) as n1 from lined group by source), linepairs as (select id1, doc_id as id2, n1, n as n2 from lined join lead using (source) where doc_id <> id1)"""
-
-
-def _line_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each document with its source's shortest one, by lines."""
-    docs = tables.read_table(spark, d, "documents").where("text is not null").select("doc_id", "source", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n"))
-    first = docs.groupBy("source").agg(F.min(F.struct("n", "doc_id")).alias("f"))
-    return docs.join(first, "source").where("doc_id <> f.doc_id").select(F.col("f.doc_id").alias("id1"), F.col("doc_id").alias("id2"), F.col("f.n").alias("n1"), F.col("n").alias("n2"))
-
-
-@_query(f"with {_LINE_PAIRS} select id1, id2, (greatest(n1, n2) - least(n1, n2)) / greatest(n1, n2)::double <= 0.3::double as passes from linepairs")
+@_query(f"with {_CANDIDATES}, n as (select doc_id, len(tokens) as n from tok) select id1, id2, (greatest(a.n, b.n) - least(a.n, b.n)) / greatest(a.n, b.n)::double <= 0.3::double as passes from cands join n a on a.doc_id = id1 join n b on b.doc_id = id2")
 def size_filter(spark, d):
-    return _line_pairs(spark, d).select("id1", "id2", pairs.size_filter(F.col("n1"), F.col("n2"), _SET.size_ratio).alias("passes"))
+    """Candidate pairs of documents, by their numbers of tokens."""
+    found, sizes = lsh_candidates(spark, d), _tokens(spark, d).select("doc_id", F.size("tokens").alias("n"))
+    for k in (1, 2):
+        found = found.join(sizes.select(F.col("doc_id").alias(f"id{k}"), F.col("n").alias(f"n{k}")), f"id{k}")
+    return found.select("id1", "id2", pairs.size_filter(F.col("n1"), F.col("n2"), _SET.size_ratio).alias("passes"))
 
 
 @_query(f"{_BLOCKS} select id1, id2 from pairs where len(list_filter(range(1, len(w1) + 1), lambda i: w1[i] = w2[i])) / n::double >= 0.5::double")
@@ -362,17 +377,15 @@ def structural_filter(spark, d):
     return _pairs(spark, d).where(pairs.structural_filter(F.col("w1"), F.col("w2"), _SET.prefilter)).select("id1", "id2")
 
 
-_OVERLAP = f"""{_CLASSES}, nexts as (select container_id, start_offset as s1, start_offset + n - 1 as e1, lead(start_offset, 7) over w as s2, lead(start_offset + n - 1, 7) over w as e2 from keyed window w as (partition by container_id order by start_offset))"""
-
-
-@_query(f"{_OVERLAP} select container_id, s1, s2, s1 <= e2 and s2 <= e1 as overlap from nexts where s2 is not null")
+@_query(f"""{_MET}, spot1 as (select key, min_by(container_id, (container_id, start_offset)) as box, min_by(start_offset, (container_id, start_offset)) as s from keyed group by key)
+  select id1, id2, a.box = b.box and a.s <= b.s + n - 1 and b.s <= a.s + n - 1 as overlap from met join spot1 a on a.key = id1 join spot1 b on b.key = id2""")
 def overlap_predicate(spark, d):
-    """Each window with the one seven starts on."""
-    w = Window.partitionBy("container_id").orderBy("start_offset")
-    end = F.col("start_offset") + F.col("n") - 1
-    rows = windows.maximal(_bodies(spark, d)).select("container_id", "start_offset", "n").select("container_id", F.col("start_offset").alias("s1"), end.alias("e1"), F.lead("start_offset", 7).over(w).alias("s2"), F.lead(end, 7).over(w).alias("e2")).where("s2 is not null")
-    box = F.col("container_id")
-    return rows.select("container_id", "s1", "s2", pairs.overlaps(box, box, box, box, F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")).alias("overlap"))
+    """Whether the first places of candidate classes overlap."""
+    classes = _classes(spark, d)
+    found = candidates.exhaustive(classes, _SET.prefilter)
+    for k in (1, 2):
+        found = found.join(classes.select(F.col("class_id").alias(f"id{k}"), *(F.col(f"first.{c}").alias(f"{c}{k}") for c in ("file", "container_id", "start_line", "end_line"))), f"id{k}")
+    return found.select("id1", "id2", pairs.overlaps(*map(F.col, ("file1", "file2", "container_id1", "container_id2", "start_line1", "end_line1", "start_line2", "end_line2"))).alias("overlap"))
 
 
 @_query(f"{_BLOCKS} select id1, id2, (i - 1)::int as pos, w1[i] as v1, w2[i] as v2 from pairs, unnest(range(1, len(w1) + 1)) as t(i) where w1[i] <> w2[i]")
@@ -390,74 +403,90 @@ _STRATEGY = f"""{_CLUSTERS}, traits as (select cluster_id, count(distinct source
   plans as (select cluster_id, n_members, loc_reduction, case when files > 1 and not full_bodies then 'EXTRACT_HELPER_METHOD' when files > 1 then 'EXTRACT_PARENT_CLASS' else 'EXTRACT_HELPER_METHOD' end as strategy from clusters join traits using (cluster_id))"""
 
 
-def _plans(spark: SparkSession, d: str) -> DataFrame:
-    links, member, sizes = _cluster_members(spark, d)
-    rows = clustering.summarize(member, sizes, links)
-    docs = tables.read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
-    traits = member.join(docs, "id").join(sizes, "id").groupBy("cluster_id").agg(F.count_distinct("source").alias("files"), F.bool_and(F.col("n") > 10).alias("full"))
+def _plans(links: DataFrame, member: DataFrame, sizes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Clusters with their strategy. docs: doc_id, file. Containers of text are neither tests, constructors nor static."""
+    traits = member.join(docs.withColumnRenamed("doc_id", "id"), "id").join(sizes, "id").groupBy("cluster_id").agg(F.count_distinct("file").alias("files"), F.bool_and(F.col("n") > 10).alias("full"))
     no, one = F.lit(False), F.lit(0)
     kind = variation.strategy(no, no, no, F.col("files") > 1, F.col("full"), no, no, F.col("n_members"), no, one)
-    return rows.join(traits, "cluster_id").withColumn("strategy", kind)
+    return _cluster_rows(links, member, sizes).join(traits, "cluster_id").withColumn("strategy", kind)
 
 
 @_query(f"{_STRATEGY} select cluster_id, strategy from plans")
 def strategy(spark, d):
     """Containers of text are neither tests, constructors nor static; a source stands for a file."""
-    return _plans(spark, d).select("cluster_id", "strategy")
+    docs = tables.read_table(spark, d, "documents").select("doc_id", F.col("source").alias("file"))
+    return _plans(*_cluster_members(spark, d), docs).select("cluster_id", "strategy")
 
 
-@_query(f"{_SCORES} select id1, (case when count(*) > 5 then 0.7::double else 1.0::double end) * (case when avg(overall) < 0.85::double then 0.8::double else 1.0::double end) as confidence from scored group by id1")
+@_query(f"""{_SCORES}, params as (select id1, count(distinct i) as n from pairs, unnest(range(1, len(w1) + 1)) as t(i) where w1[i] <> w2[i] group by id1), means as (select id1, avg(overall) as s from scored group by id1)
+  select id1, (case when coalesce(n, 0) > 5 then 0.7::double else 1.0::double end) * (case when s < 0.85::double then 0.8::double else 1.0::double end) as confidence from means left join params using (id1)""")
 def confidence(spark, d):
-    rows = _scored(spark, d).groupBy("id1").agg(F.count("*").alias("n"), F.avg("overall").alias("s"))
-    return rows.select("id1", variation.confidence(F.col("n"), F.col("s"), F.lit(0), F.lit(-1)).alias("confidence"))
+    """Per first class of pairs: its parameters are the places where any partner differs."""
+    found = materialize(_pairs(spark, d), "pairs")
+    means = similarity.score_pairs(found.drop("w1", "w2"), "norm_h1", "norm_h2").groupBy("id1").agg(F.avg("overall").alias("s"))
+    differ = found.select("id1", F.explode(variation.differences(F.col("w1"), F.col("w2"))).alias("x")).groupBy("id1").agg(F.count_distinct("x.pos").alias("n"))
+    return means.join(differ, "id1", "left").select("id1", variation.confidence(F.coalesce("n", F.lit(0)), F.col("s"), F.lit(0), F.lit(-1)).alias("confidence"))
 
 
 # --- reports -------------------------------------------------------------------------------------------------------------
 
-_FILES = f"""{_CLASSES}, {_LINKS}, filed as (select a.source as file1, b.source as file2, id1, id2, n_windows::double as overall from links join documents a on a.doc_id = id1 join documents b on b.doc_id = id2),
+_FILES = f"""{_STRATEGY}, filed as (select a.source as file1, b.source as file2, id1, id2, overall from links join documents a on a.doc_id = id1 join documents b on b.doc_id = id2),
   each as (select file1 as file, id1, id2, overall from filed union all select file2, id1, id2, overall from filed where file1 <> file2)"""
 
 
-def _filed(spark: SparkSession, d: str) -> DataFrame:
+def _filed(links: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Links of documents with their files; a source stands for a file."""
     docs = tables.read_table(spark, d, "documents").select("doc_id", "source")
-    rows = _links(spark, d)
     for k in (1, 2):
-        rows = rows.join(docs.select(F.col("doc_id").alias(f"id{k}"), F.col("source").alias(f"file{k}")), f"id{k}")
-    return rows.withColumn("overall", F.col("n_windows").cast("double"))
+        links = links.join(docs.select(F.col("doc_id").alias(f"id{k}"), F.col("source").alias(f"file{k}")), f"id{k}")
+    return links
 
 
 @_query(f"{_FILES} select file, id1, id2, overall from each")
 def cross_file_pairs(spark, d):
-    return pairs.by_file(_filed(spark, d)).select("file", "id1", "id2", "overall")
+    return pairs.by_file(_filed(_links(spark, d), spark, d)).select("file", "id1", "id2", "overall")
 
 
-_REPORT = f"{_FILES}, report as (select source as file, coalesce(duplicates, 0) as duplicates, coalesce(avg_similarity, 0.0)::double as avg_similarity from (select distinct source from documents) left join (select file, count(*) as duplicates, avg(overall) as avg_similarity from each group by file) on source = file)"
+_REPORT = f"""{_FILES}, owned as (select distinct cluster_id, source as file from sized join documents on node = doc_id),
+  ours as (select file, count(*) as clusters, sum(loc_reduction)::bigint as loc_reduction, string_agg(distinct strategy, ';' order by strategy) as strategies from owned join plans using (cluster_id) group by file),
+  cut as (select source as file, count(*) as total_sequences from keyed join documents on container_id = doc_id group by source),
+  scores as (select file, count(*) as duplicates, round(avg(overall), 6) as avg_similarity from each group by file),
+  report as (select file, coalesce(duplicates, 0) as duplicates, coalesce(avg_similarity, 0.0)::double as avg_similarity, coalesce(clusters, 0) as clusters, coalesce(loc_reduction, 0)::bigint as loc_reduction,
+    coalesce(strategies, 'NONE') as strategies, coalesce(total_sequences, 0) as total_sequences, (select count(*) from links) as candidates_analyzed
+    from (select distinct source as file from documents) left join scores using (file) left join ours using (file) left join cut using (file))"""
 
 
-@_query(f"{_REPORT} select file, duplicates, avg_similarity from report")
+@_query(f"{_REPORT} select file, duplicates, avg_similarity, clusters, loc_reduction, strategies, total_sequences, candidates_analyzed from report")
 def file_report(spark, d):
-    files = tables.read_table(spark, d, "documents").select(F.col("source").alias("file"))
-    return reports.file_report(files, _filed(spark, d))
+    links, member, sizes = _cluster_members(spark, d)
+    docs = tables.read_table(spark, d, "documents").select("doc_id", F.col("source").alias("file"))
+    plans = materialize(_plans(links, member, sizes, docs), "plans")
+    own = member.join(docs.withColumnRenamed("doc_id", "id"), "id").join(plans.select("cluster_id", "loc_reduction", "strategy"), "cluster_id")
+    cut = _bodies(spark, d).where(F.size("units") >= _SET.min_units).join(docs.withColumnRenamed("doc_id", "container_id"), "container_id")
+    cut = cut.groupBy("file").agg(F.sum(F.size("units") - _SET.min_units + 1).alias("total_sequences"))
+    report = reports.file_report(docs.select("file"), _filed(links, spark, d), own, cut, links.count())
+    return report.withColumn("avg_similarity", F.round("avg_similarity", 6))
 
 
-@_query(f"{_REPORT} select count(*) as total_files, sum(duplicates)::bigint as duplicates, round(sum(avg_similarity * duplicates) / sum(duplicates), 6) as avg_similarity from report")
+@_query(f"""{_REPORT} select count(*) as total_files, sum(duplicates)::bigint as duplicates, sum(clusters)::bigint as clusters, sum(loc_reduction)::bigint as loc_reduction, sum(total_sequences)::bigint as total_sequences,
+  max(candidates_analyzed) as candidates_analyzed, round(sum(avg_similarity * duplicates) / sum(duplicates), 5) as avg_similarity from report""")
 def project_metrics(spark, d):
-    return reports.project_metrics(file_report(spark, d)).withColumn("avg_similarity", F.round("avg_similarity", 6))
+    return reports.project_metrics(file_report(spark, d)).withColumn("avg_similarity", F.round("avg_similarity", 5))
 
 
 @_query(f"{_FILES} select file, id1, id2, overall, place::int as place from (select *, row_number() over (partition by file order by overall desc, id1, id2) as place from each) where place <= 10")
 def top10_per_file(spark, d):
-    return reports.top_pairs(pairs.by_file(_filed(spark, d)).select("file", "id1", "id2", "overall"))
+    return reports.top_pairs(pairs.by_file(_filed(_links(spark, d), spark, d)).select("file", "id1", "id2", "overall"))
 
 
-@_query(f"{_REPORT} select file, file || ',' || duplicates || ',' || printf('%.2f', avg_similarity) as line from report")
+@_query(f"{_REPORT} select file, file || ',' || duplicates || ',' || printf('%.2f', avg_similarity) || ',' || clusters || ',' || loc_reduction || ',' || strategies || ',' || total_sequences || ',' || candidates_analyzed as line from report")
 def csv_report(spark, d):
     return reports.csv_lines(file_report(spark, d))
 
 
-@_query(f"""{_REPORT} select file, '{{"project":"text","file":"' || file || '","duplicates":' || duplicates || '}}' as json from report where duplicates > 0""")
+@_query(f"""{_REPORT} select file, '{{{{"project":"text","file":"' || file || '","duplicates":' || duplicates || ',"clusters":' || clusters || ',"loc_reduction":' || loc_reduction || ',"strategies":"' || strategies || '","total_sequences":' || total_sequences || '}}}}' as json from report where duplicates > 0""".replace("{{", "{").replace("}}", "}"))
 def json_report(spark, d):
-    return reports.json_report(file_report(spark, d).drop("avg_similarity"), "text")
+    return reports.json_report(file_report(spark, d).drop("avg_similarity", "candidates_analyzed"), "text")
 
 
 @_query("select doc_id, source from documents where source in ('src1', 'src7') or starts_with(source, 'src1.') or starts_with(source, 'src7.') or starts_with(source, 'src1$') or starts_with(source, 'src7$')")
@@ -471,37 +500,52 @@ def glob_exclude(spark, d):
     return tables.read_table(spark, d, "pages").select("page_id", tables.excluded(F.col("url"), ("**/*1*", "https://**/*")).alias("out"))
 
 
-_GRAMS = r"""list_distinct(list_transform(range(1, len({0}) - 6), lambda i: array_to_string({0}[i : i + 7], ' ')))"""
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda x: x <> '')"
-_BENCH = f"""with d as (select doc_id, unnest({_GRAMS.format('w')}) as g from (select doc_id, {_WORDS} as w from documents) where len(w) >= 8),
-  b as (select item_id, unnest({_GRAMS.format('w')}) as g from (select item_id, {_WORDS} as w from benchmark) where len(w) >= 8)"""
+_BENCH = f"""with dw as (select doc_id, {_WORDS} as w from documents), bw as (select item_id, {_WORDS} as w from benchmark), sizes as (select distinct least(8, len(w)) as m from bw where len(w) > 0),
+  d as (select distinct doc_id, m, array_to_string(w[i : i + m - 1], ' ') as g from dw, sizes, unnest(range(1, len(w) - m + 2)) as t(i) where len(w) >= m),
+  b as (select distinct item_id, least(8, len(w)) as m, array_to_string(w[i : i + least(8, len(w)) - 1], ' ') as g from bw, unnest(range(1, len(w) - least(8, len(w)) + 2)) as t(i) where len(w) > 0)"""
 
 
-def _grams(df: DataFrame, key: str) -> DataFrame:
-    rows = df.select(key, norm.tokens(F.col("text")).alias("w")).where(F.size("w") >= 8)
-    return rows.select(key, F.explode_outer(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " ")))).alias("g"))
+def _grams(rows: DataFrame, key: str, size) -> DataFrame:
+    """(key, m, g): distinct runs of m words, m from ``size``; rows: key, w."""
+    sized = rows.select(key, "w", size.alias("m")).where("size(w) >= m and m > 0")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1), lambda i: F.array_join(F.slice("w", i, F.col("m")), " ")))
+    return sized.select(key, "m", F.explode_outer(runs).alias("g"))
 
 
-@_query(f"{_BENCH} select doc_id, item_id, count(*) as n_shared from d join b using (g) group by doc_id, item_id")
+@_query(f"{_BENCH} select doc_id, item_id, count(*) as n_shared from d join b using (m, g) group by doc_id, item_id")
 def benchmark_contamination(spark, d):
-    """Documents and benchmark items that share runs of eight words."""
-    docs, items = tables.read_table(spark, d, "documents"), tables.read_table(spark, d, "benchmark")
-    return _grams(docs, "doc_id").join(_grams(items, "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    """Documents and benchmark items that share runs of eight words; an item of fewer words counts where it occurs whole."""
+    docs, items = (tables.read_table(spark, d, t).select(k, norm.tokens(F.col("text")).alias("w")) for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    own = F.least(F.lit(8), F.size("w"))
+    sizes = [r["m"] for r in items.where("size(w) > 0").select(own.alias("m")).distinct().collect()]  # at most eight
+    found = _grams(docs, "doc_id", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")))
+    return found.join(_grams(items, "item_id", own), ["m", "g"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
 
 
 # --- the analysis end to end: signatures of the fast kind and sequential choices have no SQL -----------------------------------
 
 
-@_query()
+_ALONE = """alone as (select key, count(*) as k from keyed group by key having count(*) > 1 and (min(container_id) <> max(container_id) or min(start_offset + n - 1) < max(start_offset)))"""
+
+
+@_query(f"""{_SCORES}, {_ALONE}, counts as (select key, count(*) as k from keyed group by key)
+  select id1, id2, round(overall, 9) as overall, a.k as count1, b.k as count2 from scored join counts a on a.key = id1 join counts b on b.key = id2 where overall >= 0.75::double
+  union all select key, key, 1.0::double, k, k from alone""")
 def analysis_pairs(spark, d):
-    """Near-duplicate pairs of window classes, by fast signatures, scored over whole windows; a class of several windows is also paired with itself.
+    """All near-duplicate pairs of window classes, and each class of several windows apart with itself; classes are named by their keys."""
+    done = analysis.score_classes(_bodies(spark, d), Settings(enable_lsh=False))
+    keys = done.classes.where("not first.full_body").select("class_id", "key")
+    out = done.pairs
+    for k in (1, 2):
+        out = out.join(keys.select(F.col("class_id").alias(f"id{k}"), F.col("key").alias(f"key{k}")), f"id{k}")
+    return out.select(F.least("key1", "key2").alias("id1"), F.greatest("key1", "key2").alias("id2"), F.round("overall", 9).alias("overall"), F.when(F.col("key1") <= F.col("key2"), F.col("count1")).otherwise(F.col("count2")).alias("count1"), F.when(F.col("key1") <= F.col("key2"), F.col("count2")).otherwise(F.col("count1")).alias("count2"))
 
-    Then a row for each sequence of a class that is in a pair: id1 and id2 are the class, seq_id, container_id and start_offset the sequence; scores are null.
-    """
-    found = analysis.analyse(_bodies(spark, d))
-    paired = found.pairs.select(F.explode(F.array("id1", "id2")).alias("class_id")).distinct()
-    held = found.sequences.join(paired, "class_id").select(F.col("class_id").alias("id1"), F.col("class_id").alias("id2"), "seq_id", "container_id", "start_offset")
-    return found.pairs.unionByName(held, allowMissingColumns=True)
+
+@_query()
+def analysis_pairs_lsh(spark, d):
+    """The same by buckets of fast signatures, as the analysis does it unless told otherwise; tests measure what it finds of the whole."""
+    return analysis.score_classes(_bodies(spark, d)).pairs
 
 
 @_query()
@@ -511,9 +555,7 @@ def analysis_clusters(spark, d):
 
 @_query()
 def non_overlapping_pairs(spark, d):
-    """Between each two distinct containers; then a row for each container that equals another: box1 and box2 are the first of its kind, container_id is it."""
+    """The chosen places; then a row for each container that equals another: box1 and box2 are the first of its kind, container_id is it."""
     found = analysis.analyse(_bodies(spark, d))
-    boxes = analysis.container_classes(found)
-    several = boxes.groupBy("box").agg(F.count("*").alias("k")).where("k > 1").select("box")
-    copies = boxes.join(several, "box").select(F.col("box").alias("box1"), F.col("box").alias("box2"), "container_id")
-    return analysis.chosen_pairs(found).unionByName(copies, allowMissingColumns=True)
+    copies = found.boxes.where("copies > 1").select(F.col("box").alias("box1"), F.col("box").alias("box2"), "container_id")
+    return found.chosen.unionByName(copies, allowMissingColumns=True)

@@ -114,8 +114,8 @@ def test_minhash():
 
     words = "the quick brown fox jumps over a lazy dog "
     assert (sig(words) == sig(words)).all() and len(sig(words)) == 100
-    near = (sig(words * 5) == sig(words * 4 + words.replace("lazy", "sleepy"))).mean()
-    assert near > 0.5
+    near = (sig(words * 5) == sig(words * 4 + words.replace("dog", "cat"))).mean()
+    assert near > 0.8
     assert (sig("int a = 1 ;") == sig("String b = hello ;")).mean() < 0.2
     assert len(sig("")) == 100
 
