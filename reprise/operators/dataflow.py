@@ -43,6 +43,7 @@ def escaping(modified: Column, defined: Column) -> Column:
     return F.array_except(modified, defined)
 
 
+# Types whose variables hold plain values.
 PRIMITIVES = ("boolean", "byte", "char", "short", "int", "long", "float", "double", "String")
 
 
@@ -95,11 +96,48 @@ def in_scope(params: Column, fields: Column, locals_before: Column) -> Column:
     return F.array_distinct(F.concat(params, fields, locals_before))
 
 
-# Types whose values don't change, and how names of mocks and of builders or collections look.
-IMMUTABLE = ("String", "Integer", "Long", "Double", "Float", "Boolean", "Character", "Byte", "Short", "BigDecimal", "BigInteger", "LocalDate", "LocalTime", "LocalDateTime", "Instant", "Duration", "UUID", "Optional")
+# Types that are safe to share between tests, and annotations' words for mocks.
+IMMUTABLE = (
+    "String", "Integer", "int", "Long", "long", "Double", "double", "Float", "float", "Boolean", "boolean", "Character", "char", "Byte", "byte", "Short", "short",
+    "BigDecimal", "BigInteger", "LocalDate", "LocalDateTime", "LocalTime", "Instant", "Duration", "Period", "ZonedDateTime", "OffsetDateTime", "UUID", "URI", "URL", "Path",
+    "ImmutableList", "ImmutableSet", "ImmutableMap", "Database", "Connection",
+)
+MOCKS = ("Mock", "Spy", "InjectMocks", "Captor")
 
 
 def mutability(kind: Column, name: Column) -> Column:
-    """immutable, mock or mutable, by a variable's type and name."""
-    plain = kind.isin(*IMMUTABLE) | kind.isin(*PRIMITIVES)
-    return F.when(plain, "immutable").when(F.lower(name).rlike("mock|stub|spy"), "mock").otherwise("mutable")
+    """immutable, mock or mutable, by a variable's type (without its type arguments) and name."""
+    plain = F.regexp_replace(kind, "<.*$", "").isin(*IMMUTABLE)
+    return F.when(plain, "immutable").when(kind.rlike("|".join(MOCKS)) | F.lower(name).rlike("mock|stub|spy"), "mock").otherwise("mutable")
+
+
+# --- over arrays of the events of units, as the code adapter makes them ---------------------------------------------------------
+
+
+def gathered(events: Column, *fields: str) -> Column:
+    """The distinct names in these fields of all units."""
+    def each(field: str) -> Column:
+        return F.transform(events, lambda e: e[field])
+
+    return F.array_distinct(F.flatten(F.concat(*map(each, fields))))
+
+
+def defined_in(events: Column) -> Column:
+    return gathered(events, "declared", "assigned", "internal")
+
+
+def live_out_of(events: Column, after: Column) -> Column:
+    return live_out(defined_in(events), after, gathered(events, "literal_init"), gathered(events, "internal"))
+
+
+def types_of(events: Column) -> Column:
+    """Map from declared name to type; the first declaration counts."""
+    pairs = F.flatten(F.transform(events, lambda e: F.arrays_zip(e["declared"].alias("name"), e["types"].alias("type"))))
+    entries = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["name"])), lambda n: F.struct(n, F.get(F.filter(pairs, lambda p: p["name"] == n), F.lit(0))["type"]))
+    return F.map_from_entries(entries)
+
+
+def trimmed(events: Column, min_units: int) -> Column:
+    """tail_trim over units' events."""
+    units = F.transform(events, lambda e: F.struct(e["is_expression"].alias("is_expression"), (F.size(e["declared"]) + F.size(e["assigned"]) + F.size(e["unary"]) > 0).alias("changes"), e["used"].alias("used")))
+    return tail_trim(units, defined_in(events), min_units)

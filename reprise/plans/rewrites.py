@@ -39,9 +39,15 @@ def parent_class(classes: DataFrame) -> DataFrame:
     return names.select("cluster_id", F.concat(F.lit("Abstract"), F.coalesce(F.get(ends, F.lit(0)), first)).alias("parent"))
 
 
+# Classes of shared static code, by how a method's name begins or what it holds.
+UTILITIES = (("ValidationUtils", r"^(is|validate)"), ("StringUtils", "String|Format"), ("DateUtils", "Date|Time"), ("MathUtils", "Math|Calculate"))
+
+
 def utility_class(clusters: DataFrame) -> DataFrame:
     """Adds utility: the class that shared static code moves to, null where a body uses ``this``. clusters: method_name, body."""
-    kind = F.when(F.lower("method_name").rlike("valid|check|assert"), "ValidationUtils").when(F.lower("method_name").rlike("format|string|text"), "StringUtils").otherwise("CommonUtils")
+    kind = F.lit("CommonUtils")
+    for name, pattern in reversed(UTILITIES):
+        kind = F.when(F.col("method_name").rlike(pattern), name).otherwise(kind)
     return clusters.withColumn("utility", F.when(~F.col("body").rlike(r"\bthis\b"), kind))
 
 

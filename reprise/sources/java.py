@@ -22,6 +22,7 @@ KEYWORDS = frozenset(
     for goto if implements import instanceof int interface long native new package private protected public record return short static strictfp super
     switch synchronized this throw throws transient try void volatile while var yield""".split()
 )
+# Placeholders of normal forms, which stay as they are.
 PLACEHOLDERS = ("VAR", "FIELD", "METHOD", "STRING_LIT", "INT_LIT", "LONG_LIT", "DOUBLE_LIT", "BOOL_LIT", "NULL_LIT", "CHAR_LIT")
 _BLOCK_WORDS = {"if", "for", "while", "do", "try", "switch", "synchronized", "else", "catch", "finally"}
 COLUMNS = "file string, container_id string, container_kind string, class_name string, is_static boolean, block_id string, unit_idx int, text string, start_line int, end_line int, start_col int, end_col int"
@@ -247,3 +248,152 @@ def java_units(sources: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     return sources.select("file", "text").mapInPandas(run, COLUMNS)
+
+
+# --- bodies and the variables of their units ---------------------------------------------------------------------------------
+
+_PRIMITIVE = {"boolean", "byte", "char", "short", "int", "long", "float", "double", "var"}
+_NOT_EXPRESSION = KEYWORDS - _PRIMITIVE - {"final", "new", "this", "super"}
+_ASSIGNS = {"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^="}
+EVENT = "struct<declared:array<string>,types:array<string>,literal_init:array<string>,internal:array<string>,used:array<string>,assigned:array<string>,unary:array<string>,returned:array<string>,is_expression:boolean,nested_return:boolean>"
+BODY = (
+    "file string, container_id string, block_no int, kind string, class_name string, name string, is_static boolean, is_private boolean, is_test boolean, params array<string>, param_types array<string>, "
+    f"units array<string>, norm array<string>, fuzzy array<string>, tokens array<string>, parts array<array<string>>, starts array<int>, ends array<int>, events array<{EVENT}>, calls array<string>"
+)
+
+
+def _type_end(tokens: list[Token], i: int, end: int) -> int:
+    """Behind the type that begins at i: names with dots, type arguments, brackets."""
+    i += 1
+    while i + 1 < end and tokens[i].text == "." and tokens[i + 1].kind == "name":
+        i += 2
+    if i < end and tokens[i].text == "<":
+        depth = 0
+        while i < end:
+            depth += {"<": 1, ">": -1}.get(tokens[i].text, 0)
+            i += 1
+            if not depth:
+                break
+    while i + 1 < end and tokens[i].text == "[" and tokens[i + 1].text == "]":
+        i += 2
+    return i
+
+
+def events_of(tokens: list[Token]) -> dict:
+    """What one statement does to variables, whatever is nested in it included.
+
+    internal: declared inside it, as by loops, blocks, catch clauses and lambdas; what its own declaration makes isn't.
+    """
+    roles = _roles(tokens)
+    out: dict[str, list] = {k: [] for k in ("declared", "types", "literal_init", "internal", "used", "assigned", "unary", "returned")}
+    first = tokens[0].text if tokens else ""
+    out["is_expression"] = bool(tokens) and first not in _NOT_EXPRESSION and first != "{"
+    out["nested_return"] = first != "return" and any(t.text == "return" for t in tokens)
+    names: set[int] = set()
+    depth, returning, i = 0, False, 0
+
+    def declare(k: int, kind: str, inside: bool) -> None:
+        names.add(k)
+        out["declared"].append(tokens[k].text)
+        out["types"].append(kind)
+        if inside:
+            out["internal"].append(tokens[k].text)
+
+    while i < len(tokens):
+        t = tokens[i]
+        after, before = tokens[i + 1].text if i + 1 < len(tokens) else "", tokens[i - 1].text if i else ""
+        depth += (t.text in ("(", "{")) - (t.text in (")", "}"))
+        returning = t.text == "return" or (returning and t.text != ";")
+        if (roles[i] == "type" or t.text in _PRIMITIVE) and before not in ("new", "."):
+            k = _type_end(tokens, i, len(tokens))
+            kind = "".join(x.text for x in tokens[i:k])
+            if k + 1 <= len(tokens) - 1 and tokens[k].kind == "name" and tokens[k].text not in KEYWORDS and tokens[k + 1].text in ("=", ";", ",", ":", ")"):
+                inside = depth > 0 or not out["is_expression"]
+                while True:
+                    declare(k, kind, inside)
+                    if tokens[k + 1].text == "=" and k + 3 < len(tokens) and _literal(tokens[k + 2]) and tokens[k + 3].text in (";", ","):
+                        out["literal_init"].append(tokens[k].text)
+                    if tokens[k + 1].text == "," and k + 3 < len(tokens) and tokens[k + 2].kind == "name" and tokens[k + 3].text in ("=", ";", ",") and depth == 0:
+                        k += 2
+                        continue
+                    break
+        if after == "->" and roles[i] == "name":
+            declare(i, "Object", True)
+        if t.text == "(" and (close := _close(tokens, i)) + 1 < len(tokens) and tokens[close + 1].text == "->":
+            for k in range(i + 1, close):
+                if roles[k] == "name" and k not in names and tokens[k + 1].text in (",", ")"):
+                    declare(k, "Object", True)
+        if roles[i] == "name" and i not in names:
+            if after in _ASSIGNS and before != ".":
+                out["assigned"].append(t.text)
+            if "++" in (after, before) or "--" in (after, before):
+                out["unary"].append(t.text)
+            out["used"].append(t.text)
+            if returning:
+                out["returned"].append(t.text)
+        i += 1
+    return out
+
+
+def _parameters(tokens: list[Token], close: int) -> tuple[list[str], list[str]]:
+    """Names and types of the parameters whose closing bracket is at ``close``."""
+    depth, i = 0, close
+    while i >= 0:
+        depth += (tokens[i].text == ")") - (tokens[i].text == "(")
+        if not depth:
+            break
+        i -= 1
+    names, types, k = [], [], i + 1
+    while k < close:
+        end, level = k, 0
+        while end < close and (tokens[end].text != "," or level):
+            level += {"<": 1, ">": -1, "(": 1, ")": -1}.get(tokens[end].text, 0)
+            end += 1
+        part = [x.text for x in tokens[k:end] if x.text != "final"]
+        if len(part) >= 2:
+            names.append(part[-1])
+            types.append("".join(part[:-1]))
+        k = end + 1
+    return names, types
+
+
+def bodies_of(file: str, source: str) -> list[tuple]:
+    """A row for each block of each method and constructor; block 0 is its body."""
+    tokens, out = lex(source), []
+    is_test = bool(re.search(r"(Test|Tests|IT)\.java$", file)) or any(a.text == "@" and b.text in ("Test", "ParameterizedTest") for a, b in zip(tokens, tokens[1:], strict=False))
+    for n, (owner, name, kind, static, first, end) in enumerate(callables(tokens)):
+        box = f"{file}#{owner}.{name}@{n}"
+        close = first - 2
+        while close > 0 and tokens[close].text != ")":  # a throws clause may lie between
+            close -= 1
+        params, types = _parameters(tokens, close)
+        at = close
+        while at > 0 and tokens[at].text not in (";", "}", "{"):
+            at -= 1
+        private = any(x.text == "private" for x in tokens[at:close])
+        todo, block = [(first, end)], 0
+        while todo:
+            start, stop = todo.pop(0)
+            units, blocks = statements(tokens, start, stop)
+            rows = [(tokens[i:j], source[tokens[i].at : tokens[j - 1].end]) for i, j in units if i < j]
+            calls = [x.text for own, _ in rows for x, r in zip(own, _roles(own), strict=True) if r == "method"]
+            out.append((
+                file, box, block, kind, owner, name, static, private, is_test, params, types, [t for _, t in rows], [strict(t) for _, t in rows], [fuzzy(t) for _, t in rows],
+                [" ".join(fuzzy_tokens(t)) for _, t in rows], [[x.text for x in own] for own, _ in rows], [own[0].line for own, _ in rows], [own[-1].line + own[-1].text.count("\n") for own, _ in rows],
+                [events_of(own) for own, _ in rows], sorted(set(calls)),
+            ))
+            todo += blocks
+            block += 1
+    return out
+
+
+def java_bodies(sources: DataFrame) -> DataFrame:
+    """Bodies for the analysis: units with both normal forms, tokens, lines and variable events. sources: file, text; null texts have none."""
+    names = [re.sub(r"^.*\s", "", c.strip().rsplit(" ", 1)[0]) for c in re.split(r", (?=[a-z_]+ )", BODY)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [u for f, t in zip(part["file"], part["text"], strict=True) if isinstance(t, str) for u in bodies_of(f, t)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return sources.select("file", "text").mapInPandas(run, BODY)
