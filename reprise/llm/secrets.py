@@ -12,8 +12,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reprise.llm.labelled import sample
-from reprise.storage import materialize
 
 # The patterns of the contract and their least lengths.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -68,39 +66,40 @@ def base_spans(df: DataFrame) -> DataFrame:
     return _located(df, HEX, F.col("text").rlike(HEX), 0, 2, "hex", lambda v: F.lit(True))
 
 
-def labelled_samples(docs: DataFrame, max_docs: int = 2000, made: int = 3000) -> DataFrame:
-    """(value, random): what the models learn from.
+def labelled_samples(docs: DataFrame, made: int = 3000) -> DataFrame:
+    """(value, n, random): what the models learn from.
 
-    Random: digests in hexadecimal and base 64, of ``made`` numbers each. Ordinary: the identifiers in ``max_docs``
-    documents (by the hash of their id), alone and joined in pairs; those with the fixed patterns' spans are left out.
+    Random: digests in hexadecimal and base 64, of ``made`` numbers each. Ordinary: the identifiers of all documents with how often
+    they occur, between underscores, so that joined names are ordinary too; texts with the fixed patterns' spans are left out.
     """
-    spark = docs.sparkSession
-    ids = sample(docs.where("doc_id is not null").select("doc_id"), max_docs, 3)
-    # written out first, or the patterns would be tried on every document ahead of the join
-    picked = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "sample")
-    picked = picked.where(F.col("text").isNotNull() & ~F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))
-    names = picked.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value"))
-    pairs = picked.select("doc_id", F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)).alias("a")).select("doc_id", F.explode(F.zip_with("a", F.slice(F.concat("a", F.array(F.lit("value"))), F.lit(2), F.greatest(F.lit(0), F.size("a"))), lambda x, y: F.concat(x, F.lit("_"), y))).alias("value"))
-    ordinary = names.unionByName(pairs).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n")).select("value", F.lit(False).alias("random"))
+    clean = docs.where(F.col("text").isNotNull() & ~F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))
+    names = clean.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    ordinary = names.select(F.concat(F.lit("_"), "name", F.lit("_")).alias("value"), "n", F.lit(False).alias("random"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
-    random = spark.range(made).select(F.explode(F.array(digest, base64, F.upper(F.substring(digest, 1, 24)), F.regexp_replace(base64, "[+/]", ""))).alias("value"), F.lit(True).alias("random"))
+    forms = F.array(digest, base64, F.upper(F.substring(digest, 1, 24)), F.regexp_replace(base64, "[+/]", ""))
+    random = docs.sparkSession.range(made).select(F.explode(forms).alias("value"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("random"))
     return ordinary.unionByName(random)
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
-    """The table of log ratios by pair of ASCII characters (128 * first + second); at most 16,384 counts a class come to the driver."""
-    step = F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.ascii(F.substring("value", i, 1)) * 128 + F.ascii(F.substring("value", i + 1, 1))))
-    rows = samples.where(F.length("value") >= 2).select("random", step.alias("pair")).where("pair between 0 and 16383").groupBy("random", "pair").agg(F.count("*").alias("n")).collect()
+def train(samples: DataFrame, even: float = 0.002) -> list[float]:
+    """The table of log ratios by pair of ASCII characters (128 * first + second); at most 16,384 counts a class come to the driver.
+
+    ``even`` is the share of each model that all characters have alike, so a pair never seen weighs the same however large the sample is.
+    """
+    shown = samples.where(F.length("value") >= 2).select("random", "n", F.split("value", "").alias("c"))
+    codes = shown.select("random", "n", F.transform("c", lambda x: F.ascii(x)).alias("c"))
+    pairs = codes.select("random", "n", F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda x, y: x * 128 + y)).alias("pair"))
+    rows = pairs.where("pair between 0 and 16383").groupBy("random", "pair").agg(F.sum("n").alias("n")).collect()
     alphabet = [ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]
     counts = {False: {}, True: {}}
     for r in rows:
         counts[r["random"]][r["pair"]] = r["n"]
     table = [0.0] * 16384
     for a in alphabet:
-        total = {k: sum(v.get(128 * a + b, 0) for b in alphabet) + smoothing * len(alphabet) for k, v in counts.items()}
+        total = {k: sum(v.get(128 * a + b, 0) for b in alphabet) for k, v in counts.items()}
         for b in alphabet:
-            p = {k: (v.get(128 * a + b, 0) + smoothing) / total[k] for k, v in counts.items()}
+            p = {k: (1 - even) * v.get(128 * a + b, 0) / total[k] + even / len(alphabet) if total[k] else 1 / len(alphabet) for k, v in counts.items()}
             table[128 * a + b] = round(math.log(p[True] / p[False]), 4)
     return table
 
