@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reprise.llm import brown, mixing, packing, pu, quality_rules, secrets, simhash, spotsigs, substrings, token_files
 from reprise.llm.common import table
+from reprise.storage import materialize
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pu.score_quality(docs, pu.fit_quality(docs, table(spark, sf_dir, "labels")))
+    rows = materialize(pu.described(docs), "described")
+    return pu.score_described(rows, pu.fit_quality(docs, table(spark, sf_dir, "labels"), rows=rows))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from reprise.llm import docstats, gbt, pu, quality_rules
+from reprise.llm import docstats, gbt, pu, quality_rules, queries
 from tests.llm import data
 
 
@@ -111,6 +112,63 @@ def test_classifier_edges(spark):
     assert np.allclose(again.w1, net.w1)
 
 
+def slow_risk(net, p, u):
+    """The non-negative risk, text by text, from the formula."""
+    def margin(row):
+        inputs = [min(6, max(-6, (v - c) / s)) for v, c, s in zip(row, net.centre, net.scale, strict=True)]
+        hidden = [math.tanh(sum(v * w for v, w in zip(inputs, net.w1[:, k], strict=True)) + net.b1[k]) for k in range(len(net.b1))]
+        return sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2
+
+    plus = lambda rows: sum(math.log1p(math.exp(-margin(r))) for r in rows) / len(rows)
+    minus = lambda rows: sum(math.log1p(math.exp(margin(r))) for r in rows) / len(rows)
+    return net.prior * plus(p) + max(0, minus(u) - net.prior * minus(p))
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.97])
+def test_risk_and_its_gradient(prior):
+    rng = np.random.default_rng(6)
+    p, u = rng.normal(1, 1, (15, 4)), rng.normal(0.9, 1, (25, 4))
+    net = pu.Network(np.full(4, 0.2), np.full(4, 1.5), rng.normal(0, 1, (4, 3)), rng.normal(0, 1, 3), rng.normal(0, 1, 3), 2.0 if prior > 0.9 else 0.1, prior)
+    value, direction = pu.risk(net, p, pu.loss_sums(net, u, 0))
+    assert value == pytest.approx(slow_risk(net, p, u))
+    parts = sum(pu.loss_sums(net, x, 0) for x in (u[:7], u[7:]))  # as tasks add up
+    assert pu.risk(net, p, parts)[0] == pytest.approx(value)
+    back = pu.loss_sums(net, u, 0)[1] / 25 - prior * pu.loss_sums(net, p, 0)[1] / 15
+    for k in range(len(direction)):
+        step = np.zeros(len(direction))
+        step[k] = 1e-5
+        if back >= 0:
+            slope = (slow_risk(pu._moved(net, step), p, u) - slow_risk(pu._moved(net, -step), p, u)) / 2e-5
+        else:
+            part = lambda n: pu.loss_sums(n, u, 0)[1] / 25 - prior * pu.loss_sums(n, p, 0)[1] / 15
+            slope = -(part(pu._moved(net, step)) - part(pu._moved(net, -step))) / 2e-5
+        assert direction[k] == pytest.approx(slope, abs=1e-6)
+
+
+def test_sums_cover_all_rows(spark):
+    rows = pu.described(data.documents(spark))
+    x = np.array([r["features"] for r in rows.collect()])
+    n, mean, deviation = pu.moments(rows)
+    assert n == len(data.texts()) and mean == pytest.approx(x.mean(axis=0)) and deviation == pytest.approx(x.std(axis=0) + 1e-3, abs=1e-6)
+    net = pu._train(x, x[::2], 0.5, 4, 2, 1, True)
+    width = len(pu.loss_sums(net, x, 0))
+    assert pu._summed(rows, width, lambda b: pu.loss_sums(net, b, 0)) == pytest.approx(pu.loss_sums(net, x, 0))
+    found = pu.refine(net, x[:20], rows, 4)
+    unlabelled = lambda m: pu.loss_sums(m, x, 0)
+    assert pu.risk(found, x[:20], unlabelled(found))[0] <= pu.risk(net, x[:20], unlabelled(net))[0]
+
+
+def test_query_scores_as_the_operator(spark, tmp_path):
+    docs, labels, _ = corpus(spark, 200)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    net = pu.fit_quality(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op3_pu_quality(spark, str(tmp_path)).collect():
+        assert r["score"] == pytest.approx(float(net.score(np.array([docstats.features(texts[r["doc_id"]])[1]]))[0]), abs=1e-6)
+
+
 def test_prior():
     rng = np.random.default_rng(3)
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 2000)
