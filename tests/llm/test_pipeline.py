@@ -53,6 +53,13 @@ def test_run_takes_all_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_run_on_nothing(spark, tmp_path):
+    data.empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    data.labels(spark, []).write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
 def test_queries():
     names = queries.queries()
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] and set(queries.oracle_sql()) <= set(names)

@@ -117,6 +117,36 @@ def test_scores(spark, monkeypatch, most):
     assert all(r["score"] < 0 and r["perplexity"] > 1 for r in got)
 
 
+@pytest.mark.parametrize("most", [200_000, 30])
+def test_class_scores_are_plain_sums(spark, monkeypatch, most):
+    monkeypatch.setattr(brown.frequent, "__defaults__", (most,))
+    fitted = brown.fit(data.documents(spark), 20, 5)
+    model, ends = fitted
+    k = len(model.spread)
+    words = {r["word"]: (r["c"], r["cls"]) for r in model.vocabulary.collect()}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    split = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
+    kinds = lambda t: [words[w][1] if w in words else k - 1 - brown.SHAPES + brown.shape(w.encode()) for w in split(t)] + [k - 1]
+    training = [t for i, t in data.texts() if not held(i)]
+    assert {w: c for w, (c, _) in words.items()} == Counter(w for t in training for w in split(t)) and ends == len(training)
+    pairs = Counter(x for t in training for x in zip([k - 1, *kinds(t)], kinds(t), strict=False))
+    before, after, distinct = Counter(), Counter(), Counter(cls for _, cls in words.values())
+    for (a, b), n in pairs.items():
+        before[a] += n
+        after[b] += n
+    distinct[k - 1] = 1
+
+    def plain(t):
+        own, total = kinds(t), 0.0
+        for a, b, c in zip([k - 1, *own], own, [*(words.get(w, (0,))[0] for w in split(t)), ends], strict=False):
+            total += math.log10((pairs[a, b] + brown.ALPHA) / (before[a] + brown.ALPHA * k)) + math.log10((c + brown.DELTA) / (after[b] + brown.DELTA * (distinct[b] + 1)))
+        return total
+
+    got = sorted((str(r["doc_id"]), r["score"]) for r in brown.score(fitted).collect())
+    expected = sorted((str(i), plain(t)) for i, t in data.texts())
+    assert [i for i, _ in got] == [i for i, _ in expected] and [x for _, x in got] == pytest.approx([x for _, x in expected])
+
+
 def test_emissions_sum_to_one(spark):
     docs = data.documents(spark, [(k, " ".join(data.words(200, k, 40))) for k in range(30)])
     model, ends = brown.fit(docs, 20, 5)
