@@ -10,18 +10,21 @@ from reprise.storage import materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.3; trained on this stage's documents and the table of labels."""
+    """Documents whose quality score is at least 0.3; trained on this stage's documents and the table of labels.
+
+    Null texts score as empty ones; repeated rows stay or go together; without labels every score is 0.5 and all stay; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return pu.keep_quality(docs, pu.fit_quality(docs, labels))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
+    """One document of each SimHash group, the one of the smallest id; nulls and texts without words are alike, and one of them stays. Empty stays empty."""
     return simhash.one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets in their texts are replaced by a mark, and n_chars follows. Texts without any stay as they are."""
+    """All documents; secrets in their texts are replaced by a mark, and n_chars follows. Texts without any stay as they are, nulls too; repeated rows are masked alike."""
     found = secrets.with_redacted(secrets.find_secrets(docs), "clean")
     touched = F.size("found") > 0
     new = {"text": F.when(touched, F.col("clean")).otherwise(F.col("doc.text")), "n_chars": F.when(touched, F.length("clean").cast("long")).otherwise(F.col("doc.n_chars"))}
@@ -29,12 +32,12 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, or parts of them, that the mix takes, as often as it takes them."""
+    """The documents, or parts of them, that the mix takes, as often as it takes them. Nulls and texts without words have nothing to take and go."""
     return mixing.mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents with their places in sequences of 2048 tokens."""
+    """Pieces of the mixed documents with their places in sequences of 2048 tokens; a null text would be an empty one, repeated rows are packed each."""
     return packing.pack(docs)
 
 
