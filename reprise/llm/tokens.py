@@ -82,8 +82,8 @@ def encoder(vocabulary: str | None = None) -> Callable[[list[str | None]], list[
 
     name = vocabulary or default_vocabulary()
     if name not in _TABLES:
-        _TABLES[name] = (Tokenizer.from_file(name), {}, {})
-    tokenizer, table, cores = _TABLES[name]
+        _TABLES[name] = (Tokenizer.from_file(name), {})
+    tokenizer, table = _TABLES[name]
 
     merge = tokenizer.model.tokenize
 
@@ -103,17 +103,16 @@ def encoder(vocabulary: str | None = None) -> Callable[[list[str | None]], list[
         return out
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        for held in (table, cores):
-            if len(held) > TABLE_WORDS:
-                held.clear()
+        if len(table) > TABLE_WORDS:
+            table.clear()
         split = [words_of(t) for t in texts]
         new = {w: _parts(w) for w in set().union(*split) if w not in table}
-        missing = list({p for parts in new.values() for p in parts if p and p not in cores})
-        passing, long = {b"": b""}, {}
-        for p, ids in zip(missing, ids_of(missing), strict=True):
-            (cores if len(p) <= TABLE_BYTES else passing)[p] = ids
+        missing = list({p for parts in new.values() for p in parts if p and p not in table})
+        long = {}
+        for p, ids in zip(missing, ids_of(missing), strict=True):  # a part is a word of its own, with the same ids
+            (table if len(p) <= TABLE_BYTES else long)[p] = ids
         for w, (a, b) in new.items():
-            (table if len(w) <= TABLE_BYTES else long)[w] = (cores.get(a) or passing.get(a, b"")) + (cores.get(b) or passing.get(b, b""))
+            (table if len(w) <= TABLE_BYTES else long)[w] = (table.get(a) or long.get(a, b"")) + (table.get(b) or long.get(b, b""))
         if long:
             return [b"".join([table[w] if w in table else long[w] for w in words]) for words in split]
         return [b"".join([table[w] for w in words]) for words in split]
