@@ -26,7 +26,7 @@ def per_document(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for piece in _bounded(batch):
+            for piece in bounded(batch):
                 out = step({n: piece.column(i).to_pylist() for i, n in enumerate(piece.schema.names)})
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out)
@@ -34,6 +34,7 @@ def per_document(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[s
     return df.mapInArrow(run, schema)
 
 
-def _bounded(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of ``rows``, so that no more rows are Python objects at once."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reprise.llm.common import per_document, words_of
+from reprise.llm.common import bounded, per_document, words_of
 from reprise.llm.mph import mix
 from reprise.storage import materialize
 
@@ -188,15 +188,15 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOC
     joined = rows.join(taken, ["_id", "_key", "_nth"]).select("_row", "_text", "_parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for large in batches for piece in bounded(large)):
             at, texts = [], []
             for i, (text, parts) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_parts").to_pylist(), strict=True)):
-                words, whole = None, sum(p["part_to"] - p["part_from"] for p in parts)
                 words = words_of(text)
+                whole = sum(p["part_to"] - p["part_from"] for p in parts) == len(words)
                 parts.sort(key=lambda p: p["part_from"])
                 for copy in range(1, max(p["times"] for p in parts) + 1):
                     some = [p for p in parts if p["times"] >= copy]
-                    complete = whole == len(words) and len(some) == len(parts)
+                    complete = whole and len(some) == len(parts)
                     texts.append(text if complete else b" ".join(w for p in some for w in words[p["part_from"] : p["part_to"]]).decode())
                     at.append(i)
             yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(at, pa.int64())), pa.array(texts, pa.string())], ["_row", "_text"])
