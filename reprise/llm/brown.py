@@ -12,7 +12,6 @@ and class by a join with the table of all words; those words are rare by constru
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,15 +39,8 @@ ALPHA, DELTA = 0.1, 0.5
 _FLUSH = 300_000
 
 
-def texts_of(column: pa.Array) -> Iterator[list[bytes]]:
-    """The words, A-Z in lower case, of each text of a column; null has none."""
-    for text in column.cast(pa.binary()):
-        raw = text.as_py()
-        yield raw.lower().split() if raw else []
-
-
-def _strings(words) -> pa.Array:
-    return pa.array(words, pa.binary()).cast(pa.string())
+def tokens_of(text: str | None) -> list[bytes]:
+    return text.encode().lower().split() if text else []
 
 
 def shape(word: bytes) -> int:
@@ -132,11 +124,11 @@ def count_words(docs: DataFrame) -> DataFrame:
         held: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_pydict({"word": _strings(held.keys()), "c": pa.array(held.values(), pa.int64())})
+            return pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in held], pa.string()), "c": pa.array(held.values(), pa.int64())})
 
         for batch in batches:
-            for own in texts_of(batch.column(0)):
-                held.update(own)
+            for text in batch.column(0):
+                held.update(tokens_of(text.as_py()))
                 if len(held) > _FLUSH:
                     yield out()
                     held.clear()
@@ -175,14 +167,16 @@ def count_pairs(docs: DataFrame, words: list[bytes]) -> np.ndarray:
         table = dict(rank)
         grid = np.zeros(n * n, np.int64)
         for batch in batches:
-            for own in texts_of(batch.column(0)):
-                codes = list(map(table.get, own))
-                if None in codes:
-                    for i, w in enumerate(own):
-                        if codes[i] is None:
-                            codes[i] = other + shape(w)
-                            if len(w) <= TABLE_BYTES:
-                                table[w] = codes[i]
+            for text in batch.column(0):
+                own = tokens_of(text.as_py())
+                codes = []
+                for w in own:
+                    c = table.get(w)
+                    if c is None:
+                        c = other + shape(w)
+                        if len(w) <= TABLE_BYTES:
+                            table[w] = c
+                    codes.append(c)
                 s = np.array([n - 1, *codes, n - 1], np.int64)
                 np.add.at(grid, s[:-1] * n + s[1:], 1)
             if len(table) > 4 * _FLUSH:
@@ -208,7 +202,7 @@ def count_neighbours(docs: DataFrame, words: list[bytes], label: np.ndarray) ->
         seed = {w: int(k) for w, k in zip(words, label, strict=False)}
         of_shape = [int(k) for k in label[own:]]
         table: dict = {None: 0}
-        kind, codes = [of_shape[-1]], array("i", [0])
+        kind, codes = [of_shape[-1]], [0]
 
         def out():
             s = np.array(codes, np.int64)
@@ -218,19 +212,20 @@ def count_neighbours(docs: DataFrame, words: list[bytes], label: np.ndarray) ->
             starts = np.r_[np.searchsorted(key, np.arange(1, len(table)) * 2 * kinds), len(key)]
             near = ((key % (2 * kinds)) << 40) + n
             rows = pa.Array.from_buffers(pa.binary(), len(table) - 1, [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(near.astype(np.int64))])
-            return pa.RecordBatch.from_arrays([_strings([w for w in table if w is not None]), rows], ["word", "near"])
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in table if w is not None], pa.string()), rows], ["word", "near"])
 
         for batch in batches:
-            for tokens in texts_of(batch.column(0)):
-                for w in tokens:
-                    if w not in table:
-                        table[w] = len(table)
+            for text in batch.column(0):
+                for w in tokens_of(text.as_py()):
+                    c = table.get(w)
+                    if c is None:
+                        c = table[w] = len(table)
                         kind.append(seed[w] if w in seed else of_shape[shape(w)])
-                codes.extend(map(table.__getitem__, tokens))
+                    codes.append(c)
                 codes.append(0)
                 if len(codes) > 4 * _FLUSH or len(table) > _FLUSH:
                     yield out()
-                    table, kind, codes = {None: 0}, kind[:1], array("i", [0])
+                    table, kind, codes = {None: 0}, kind[:1], [0]
         if len(table) > 1:
             yield out()
 
@@ -348,7 +343,8 @@ def code(docs: DataFrame, vocabulary: DataFrame, top: pd.DataFrame, ends: int, c
         last, uid = len(table), TaskContext.get().partitionId() << 40
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("uid", "n_tokens", "n_known", "base", "emit", "cls", "rare")}
-            for tokens in texts_of(batch.column("text")):
+            for text in batch.column("text"):
+                tokens = tokens_of(text.as_py())
                 at = np.array([table.get(w, -1) for w in tokens] + [last], np.int64)
                 missing = np.nonzero(at < 0)[0]
                 rare = [tokens[i] for i in missing]
