@@ -61,7 +61,7 @@ def refiner(s: Settings) -> Callable[[DataFrame, DataFrame], DataFrame]:
 def analyse(sources: DataFrame, settings: Settings | None = None) -> analysis.Analysis:
     """Near-duplicate code of sources (file, text): bodies, windows, scores, refined boundaries, clusters."""
     s = settings or Settings()
-    return analysis.analyse(bodies(sources, s), s, refiner(s))
+    return analysis.analyse(materialize(bodies(sources, s), "bodies"), s, refiner(s))
 
 
 def member_traits(found: analysis.Analysis) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reprise.config import Settings, resolve
 from reprise.functions import normalize
-from reprise.operators import clustering, dataflow, lsh, overlap, pairs, reports, similarity, variation, windows
+from reprise.operators import candidates, clustering, dataflow, lsh, overlap, pairs, reports, similarity, variation, windows
 from reprise.operators.components import connected_components
 from reprise.sources import java, tables
 
@@ -268,3 +269,36 @@ def test_session_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, [1, 2], 0.9)], "cluster_id int, ids array<int>, s double")
     tables.save_session(rows, str(tmp_path / "s"))
     assert tables.load_session(spark, str(tmp_path / "s"), rows.schema).collect() == rows.collect()
+
+
+def test_spans_are_the_sequences(spark):
+    for n, low, growth, maximal, kind in ((0, 5, 5, True, "x"), (4, 5, 5, True, "x"), (7, 5, 5, True, "x"), (14, 5, 5, True, "x"), (14, 3, 2, False, "x"), (9, 5, 5, True, "constructor")):
+        df = spark.createDataFrame([(kind, [f"u{i}" for i in range(n)])], "kind string, units array<string>")
+        expected = sorted((r["start_offset"], r["n"], r["full_body"]) for r in windows.sequences(df, low, growth, maximal).collect())
+        got = df.select(windows.spans(F.col("units"), low, growth, maximal, F.col("kind") == "constructor").alias("s")).first()["s"]
+        assert sorted(tuple(x) for x in got) == expected
+
+
+def test_pairs_carry_what_they_need_for_short_and_long_windows(spark):
+    rng = random.Random(3)
+    rows = [(k, n, [rng.randrange(6) for _ in range(n)], f"key {k}") for k, n in enumerate([5] * 25 + [10] * 40 + [14] * 40)]
+    classes = spark.createDataFrame(rows, "class_id long, n int, norm_h array<long>, key string")
+    for least in (0.4, 0.5, 0.8):
+        found = candidates.exhaustive(classes, least, ("key",)).collect()
+        expected = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and sum(x == y for x, y in zip(a[2], b[2], strict=True)) >= math.ceil(a[1] * least - 1e-9)}
+        assert len(found) == len(expected) and {(r["id1"], r["id2"]) for r in found} == expected
+        assert all((r["key1"], r["key2"]) == (f"key {r['id1']}", f"key {r['id2']}") for r in found)
+        # what can't be in a pair isn't carried into the join
+        kept = {r["class_id"] for r in candidates.holding(classes, least).collect()}
+        assert {x for p in expected for x in p} <= kept
+
+
+def test_scores_of_whole_numbers_that_look_like_padding(spark):
+    rows = spark.createDataFrame([(1, [1, 2], [1, 2, -1, -2]), (2, [], [-2]), (3, [-1, -2], [-1, -2])], "id int, units1 array<long>, units2 array<long>")
+    got = {r["id"]: (r["lcs"], r["lev"], r["positional"]) for r in similarity.score_pairs(rows).collect()}
+    assert got == {1: (0.5, 0.5, 0.5), 2: (0.0, 0.0, 0.0), 3: (1.0, 1.0, 1.0)}
+
+
+def test_differing_places_as_bits(spark):
+    row = spark.createDataFrame([([1, 2, 3, 4], [1, 5, 3, 6])], "a array<long>, b array<long>")
+    assert row.select(variation.differing(F.col("a"), F.col("b"), 10).alias("x")).first()["x"] == 0b1010
