@@ -302,3 +302,13 @@ def test_scores_of_whole_numbers_that_look_like_padding(spark):
 def test_differing_places_as_bits(spark):
     row = spark.createDataFrame([([1, 2, 3, 4], [1, 5, 3, 6])], "a array<long>, b array<long>")
     assert row.select(variation.differing(F.col("a"), F.col("b"), 10).alias("x")).first()["x"] == 0b1010
+
+
+def test_estimated_pairs(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.randrange(3) for _ in range(8)]) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, signature array<int>")
+    found = lsh.estimated_pairs(df, "doc_id", 4, 2)
+    expected = {(a, b): sum(x == y for x, y in zip(s, t, strict=True)) / 8 for a, s in rows for b, t in rows if a < b and any(s[i : i + 2] == t[i : i + 2] for i in range(0, 8, 2))}
+    got = found.collect()
+    assert len(got) == len(expected) and {(r["id1"], r["id2"]): r["estimate"] for r in got} == expected
