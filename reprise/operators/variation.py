@@ -13,6 +13,11 @@ def differences(a: Column, b: Column) -> Column:
     return F.filter(placed, lambda x: ~x["v1"].eqNullSafe(x["v2"]))
 
 
+def different(a: Column, b: Column, most: int) -> Column:
+    """(pos, v2) of the places where two arrays of one size, of at most ``most`` elements, differ, and null for the others; without a lambda."""
+    return F.array(*[F.when(F.get(a, F.lit(i)) != F.get(b, F.lit(i)), F.struct(F.lit(i).alias("pos"), F.get(b, F.lit(i)).alias("v2"))) for i in range(most)])
+
+
 def differing(a: Column, b: Column, most: int) -> Column:
     """The places where two arrays of one size, of at most ``most`` (up to 31) elements, differ, as bits; without a lambda, which costs far more."""
     return sum((F.coalesce((F.get(a, F.lit(i)) != F.get(b, F.lit(i))).cast("int"), F.lit(0)) * (1 << i) for i in range(most)), F.lit(0))
