@@ -16,7 +16,7 @@ TABLE_WORDS = 600_000
 TABLE_BYTES = 64
 #: ASCII characters that are neither letters, digits, white space nor an apostrophe (which the splitter treats apart).
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != ord("'"))
-_TABLES: dict[str, tuple] = {}
+_TABLES: dict[str, _Table] = {}
 
 
 def default_vocabulary() -> str:
@@ -53,9 +53,11 @@ def _parts(word: bytes) -> tuple[bytes, bytes]:
     Lower case is safe ahead of the normaliser for ASCII and plain letters; elsewhere composition comes first. What counts is the end
     of the core once it is in lower case: the dotted capital I becomes a letter and a combining dot, which belongs with marks.
     """
+    core = word.rstrip(_MARKS)
+    if core.isalpha() and b"|" not in word:  # ASCII letters
+        return core.lower(), word[len(core) :]
     if b"<|" in word or b"|>" in word:
         return word, b""
-    core = word.rstrip(_MARKS)
     if not core:
         return b"", word
     if core.isascii():
@@ -73,48 +75,57 @@ def vocabulary_size(vocabulary: str | None = None) -> int:
     return Tokenizer.from_file(vocabulary or default_vocabulary()).get_vocab_size()
 
 
+class _Table(dict):
+    """Ids by word, as bytes. A word that isn't there is encoded when it is asked for; parts are kept as the words that they are."""
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.merge = self.tokenizer.model.tokenize
+        self.codes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+
+    def __missing__(self, word: bytes) -> bytes:
+        core, marks = _parts(word)
+        ids = (self.get(core) or self.part(core) if core else b"") + (self.get(marks) or self.part(marks) if marks else b"")
+        if len(word) <= TABLE_BYTES:
+            self[word] = ids
+        return ids
+
+    def part(self, part: bytes) -> bytes:
+        text = part.decode()
+        # one run of letters or marks: the splitter has nothing to do; ASCII that prints is its own byte letter
+        if part.isascii():
+            letters = text if part.isalpha() and part.islower() or not part.strip(_MARKS) else None
+        else:
+            letters = part.decode("latin-1").translate(_LETTERS) if text == _lowered(text) else None
+        if letters is None:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        else:
+            codes = self.codes
+            ids = b"".join([codes[t.id] for t in self.merge(letters)])
+        if len(part) <= TABLE_BYTES:
+            self[part] = ids
+        return ids
+
+
 def encoder(vocabulary: str | None = None) -> Callable[[list[str | None]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit integers, without special tokens. Null counts as empty.
 
     For a vocabulary whose splitter keeps white space apart (see above). The table lives as long as the worker.
     """
-    from tokenizers import Tokenizer
-
     name = vocabulary or default_vocabulary()
     if name not in _TABLES:
-        _TABLES[name] = (Tokenizer.from_file(name), {})
-    tokenizer, table = _TABLES[name]
-
-    merge = tokenizer.model.tokenize
-
-    def ids_of(parts: list[bytes]) -> list[bytes]:
-        out, whole = [], []
-        for k, p in enumerate(parts):
-            text = p.decode()
-            if text == _lowered(text) or not p.strip(_MARKS):  # one run of letters or marks: the splitter has nothing to do
-                out.append(array("I", [t.id for t in merge(p.decode("latin-1").translate(_LETTERS))]).tobytes())
-            else:
-                out.append(b"")
-                whole.append(k)
-        for at in range(0, len(whole), 4096):
-            some = whole[at : at + 4096]
-            for k, e in zip(some, tokenizer.encode_batch_fast([parts[k].decode() for k in some], add_special_tokens=False), strict=True):
-                out[k] = array("I", e.ids).tobytes()
-        return out
+        _TABLES[name] = _Table(name)
+    table = _TABLES[name]
+    ids_of = table.__getitem__
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        if len(table) > TABLE_WORDS:
-            table.clear()
-        split = [words_of(t) for t in texts]
-        new = {w: _parts(w) for w in set().union(*split) if w not in table}
-        missing = list({p for parts in new.values() for p in parts if p and p not in table})
-        long = {}
-        for p, ids in zip(missing, ids_of(missing), strict=True):  # a part is a word of its own, with the same ids
-            (table if len(p) <= TABLE_BYTES else long)[p] = ids
-        for w, (a, b) in new.items():
-            (table if len(w) <= TABLE_BYTES else long)[w] = (table.get(a) or long.get(a, b"")) + (table.get(b) or long.get(b, b""))
-        if long:
-            return [b"".join([table[w] if w in table else long[w] for w in words]) for words in split]
-        return [b"".join([table[w] for w in words]) for words in split]
+        out = []
+        for text in texts:
+            if len(table) > TABLE_WORDS:
+                table.clear()
+            out.append(b"".join(map(ids_of, words_of(text))))
+        return out
 
     return encode

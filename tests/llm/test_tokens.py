@@ -1,3 +1,4 @@
+import sys
 import zlib
 from collections import defaultdict
 
@@ -27,6 +28,26 @@ def test_words_give_the_ids_of_whole_texts(slow):
             assert np.array_equal(np.frombuffer(got, "<u4"), slow(t)), t
 
 
+def test_new_words_take_few_calls_and_known_ones_none():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"{a}{b}{c}{end}" for a in letters for b in letters for c in "xyz" for end in ("", ",")]
+    encode, calls = tokens.encoder(), []
+
+    def counted(texts):
+        calls.clear()
+        sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+        try:
+            return encode(texts)
+        finally:
+            sys.setprofile(None)
+
+    tokens._TABLES[tokens.default_vocabulary()].clear()
+    first = counted([" ".join(words)])
+    assert len(calls) <= 14 * len(words)
+    assert counted([" ".join(words)]) == first
+    assert len(calls) < 50
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 1 << 62, 5000).astype(np.uint64)
     table = mph.PerfectHash.build(keys)
