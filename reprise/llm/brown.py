@@ -12,13 +12,13 @@ and class by a join with the table of all words; those words are rare by constru
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,21 +36,64 @@ LONG_WORD = 4096
 SHAPES = 32
 #: Smoothing of transitions and of emissions.
 ALPHA, DELTA = 0.1, 0.5
-_FLUSH = 300_000
-
-
-def tokens_of(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+#: Bytes of text whose words are held at once, but for longer texts.
+_SLICE = 16_000_000
+_DIGITS = b"0123456789"
 
 
 def shape(word: bytes) -> int:
     """One of SHAPES coarse classes: how a word ends, its length, digits, letters beyond ASCII."""
+    if word.isalpha():  # ASCII letters
+        return 4 * (len(word) >= 8) + 16 * (len(word) > 64)
     last = word[-1:]
     end = 1 if last == b"." else 2 if last == b"," else 0 if last.isalnum() or last >= b"\x80" else 3
-    digit = any(48 <= c <= 57 for c in word) if len(word) <= 64 else True
+    digit = len(word) > 64 or len(word.translate(None, _DIGITS)) < len(word)
     return end + 4 * (len(word) >= 8) + 8 * (not word.isascii()) + 16 * digit
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+    """A column of texts in parts of about _SLICE bytes: (from, to, distinct words, codes of all words in order, words of each text).
+
+    Words are those of A-Z in lower case between the characters [\\x20\\x09-\\x0D]; null has none.
+    """
+    ends = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))]
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + _SLICE, "right")) - 1)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, to - at)))
+        coded = lists.flatten().dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy()
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        none = pc.index(words, "").as_py()
+        if none >= 0:  # ahead of white space at an end, or all of an empty text
+            held = codes != none
+            n = np.bincount(np.repeat(np.arange(len(n)), n)[held], minlength=len(n))
+            codes = codes[held]
+            codes = codes - (codes > none).astype(np.int32)
+            words = pa.concat_arrays([words.slice(0, none), words.slice(none + 1)])
+        yield at, to, words, codes, n
+        at = to
+
+
+def _numbered(words: pa.Array, known: pa.Array, other: Callable[[bytes], int]) -> np.ndarray:
+    """The place of each word in ``known``, or what ``other`` gives."""
+    out = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+    missing = np.flatnonzero(out < 0)
+    out[missing] = [other(w) for w in words.take(pa.array(missing)).cast(pa.binary()).to_pylist()]
+    return out
+
+
+def _ended(values: np.ndarray, n: np.ndarray, end: int) -> np.ndarray:
+    """Values of texts one behind another, with ``end`` ahead of, between and behind them."""
+    out = np.full(len(values) + len(n) + 1, end, values.dtype)
+    out[np.arange(len(values)) + np.repeat(np.arange(1, len(n) + 1), n)] = values
+    return out
+
+
+def _strings(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -121,18 +164,9 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over all rows of ``docs``; summed in each task first. Ends of texts aren't in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in held], pa.string()), "c": pa.array(held.values(), pa.int64())})
-
         for batch in batches:
-            for text in batch.column(0):
-                held.update(tokens_of(text.as_py()))
-                if len(held) > _FLUSH:
-                    yield out()
-                    held.clear()
-        yield out()
+            for _, _, words, codes, _ in slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(codes, minlength=len(words)))], ["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -163,24 +197,12 @@ def count_pairs(docs: DataFrame, words: list[bytes]) -> np.ndarray:
     n = len(words) + SHAPES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, other = {w: i for i, w in enumerate(words)}, len(words)
-        table = dict(rank)
+        known, other = _strings(words), len(words)
         grid = np.zeros(n * n, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                own = tokens_of(text.as_py())
-                codes = []
-                for w in own:
-                    c = table.get(w)
-                    if c is None:
-                        c = other + shape(w)
-                        if len(w) <= TABLE_BYTES:
-                            table[w] = c
-                    codes.append(c)
-                s = np.array([n - 1, *codes, n - 1], np.int64)
-                np.add.at(grid, s[:-1] * n + s[1:], 1)
-            if len(table) > 4 * _FLUSH:
-                table = dict(rank)
+            for _, _, own, codes, sizes in slices(batch.column(0)):
+                s = _ended(_numbered(own, known, lambda w: other + shape(w))[codes].astype(np.int64), sizes, n - 1)
+                grid += np.bincount(s[:-1] * n + s[1:], minlength=n * n)
         at = np.nonzero(grid)[0]
         for k in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_pydict({"pair": pa.array(at[k : k + 100_000]), "c": pa.array(grid[at[k : k + 100_000]])})
@@ -199,35 +221,23 @@ def count_neighbours(docs: DataFrame, words: list[bytes], label: np.ndarray) ->
     own, kinds = len(words), int(label.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed = {w: int(k) for w, k in zip(words, label, strict=False)}
-        of_shape = [int(k) for k in label[own:]]
-        table: dict = {None: 0}
-        kind, codes = [of_shape[-1]], [0]
-
-        def out():
-            s = np.array(codes, np.int64)
-            k = np.array(kind, np.int64)[s]
-            at = np.nonzero(s)[0]
-            key, n = np.unique(np.r_[s[at] * 2 * kinds + k[at - 1], s[at] * 2 * kinds + kinds + k[at + 1]], return_counts=True)
-            starts = np.r_[np.searchsorted(key, np.arange(1, len(table)) * 2 * kinds), len(key)]
-            near = ((key % (2 * kinds)) << 40) + n
-            rows = pa.Array.from_buffers(pa.binary(), len(table) - 1, [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(near.astype(np.int64))])
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in table if w is not None], pa.string()), rows], ["word", "near"])
-
+        seeds = _strings(words)
         for batch in batches:
-            for text in batch.column(0):
-                for w in tokens_of(text.as_py()):
-                    c = table.get(w)
-                    if c is None:
-                        c = table[w] = len(table)
-                        kind.append(seed[w] if w in seed else of_shape[shape(w)])
-                    codes.append(c)
-                codes.append(0)
-                if len(codes) > 4 * _FLUSH or len(table) > _FLUSH:
-                    yield out()
-                    table, kind, codes = {None: 0}, kind[:1], [0]
-        if len(table) > 1:
-            yield out()
+            for _, _, names, codes, sizes in slices(batch.column(0)):
+                kind = np.r_[label[-1], label[_numbered(names, seeds, lambda w: own + shape(w))]].astype(np.int32)
+                s = _ended(codes + np.int32(1), sizes, 0)
+                k, at = kind[s], np.flatnonzero(s)
+                key = np.empty(2 * len(at), np.int64)
+                for part, side, shift in ((key[: len(at)], at - 1, 0), (key[len(at) :], at + 1, kinds)):
+                    np.multiply(s[at], 2 * kinds, out=part, dtype=np.int64)
+                    part += k[side] + shift
+                key.sort()
+                heads = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
+                n, key = np.diff(np.r_[heads, len(key)]), key[heads]
+                starts = np.r_[np.searchsorted(key, np.arange(1, len(names) + 1) * 2 * kinds), len(key)]
+                near = ((key % (2 * kinds)) << 40) + n
+                rows = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(near.astype(np.int64))])
+                yield pa.RecordBatch.from_arrays([names, rows], ["word", "near"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(names, parts):
@@ -236,9 +246,11 @@ def count_neighbours(docs: DataFrame, words: list[bytes], label: np.ndarray) ->
             word[first[1:]] = 1
             word = np.repeat(np.cumsum(word), [len(p) // 8 for p in parts])
             flat = np.frombuffer(b"".join(parts), np.int64)
-            key, back = np.unique(word * 2 * kinds + (flat >> 40), return_inverse=True)
-            n = np.zeros(len(key), np.int64)
-            np.add.at(n, back, flat & ((1 << 40) - 1))
+            key = word * 2 * kinds + (flat >> 40)
+            order = np.argsort(key, kind="stable")  # runs in order, one a part
+            key = key[order]
+            heads = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+            n, key = np.add.reduceat(flat[order] & ((1 << 40) - 1), heads), key[heads]
             starts = np.r_[np.searchsorted(key, np.arange(len(first)) * 2 * kinds), len(key)]
             k = key % (2 * kinds)
             c = np.add.reduceat(np.where(k < kinds, n, 0), starts[:-1])  # one word before each
@@ -266,10 +278,21 @@ def _dense(near: list[bytes], width: int) -> np.ndarray:
     """One row a word: its counts by kind of neighbour."""
     flat = np.frombuffer(b"".join(near), np.int64)
     out = np.zeros((len(near), width), np.float32)
-    out[np.repeat(np.arange(len(near)), [len(x) // 8 for x in near]), flat >> 40] = flat & ((1 << 40) - 1)
+    out[_rows(near), flat >> 40] = flat & ((1 << 40) - 1)
     return out
 
 
+def _rows(near: list[bytes]) -> np.ndarray:
+    """The word that each count belongs to."""
+    return np.repeat(np.arange(len(near)), [len(x) // 8 for x in near])
+
+
+def _summed(near: list[bytes], cls: np.ndarray, classes: int, width: int) -> np.ndarray:
+    """Counts by class and kind of neighbour, one behind another; from what there is, not from all kinds of each word."""
+    flat = np.frombuffer(b"".join(near), np.int64)
+    return np.bincount(cls[_rows(near)] * width + (flat >> 40), flat & ((1 << 40) - 1), classes * width)
+
+
 def _fit_of(profiles: np.ndarray) -> np.ndarray:
     """What an occurrence next to each kind adds to a word's likelihood in each class: log (class's count by kind / class's count), smoothed."""
     every = profiles.sum(axis=0) + 1e-3
@@ -296,20 +319,19 @@ def assign(counted: DataFrame, words: list[bytes], label: np.ndarray, seeds: int
                 profiles[at[r["word"].encode()]] += x
         profiles[seeds:] = rows[: classes - seeds]
 
-    def best(near: list[bytes], fit_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = _dense(near, width)
-        return x, (x @ fit_).argmax(axis=1)
+    def best(near: list[bytes], fit_: np.ndarray) -> np.ndarray:
+        return (_dense(near, width) @ fit_).argmax(axis=1)
 
     for _ in range(PASSES):
         fit_ = _fit_of(profiles)
 
         def run(batches: Iterator[pa.RecordBatch], fit_=fit_) -> Iterator[pa.RecordBatch]:
-            grid = np.zeros((classes, width))
+            grid = np.zeros(classes * width)
             for batch in batches:
-                x, cls = best(batch.column(0).to_pylist(), fit_)
-                np.add.at(grid, cls, x)
-            at = np.nonzero(grid.ravel())[0]
-            yield pa.RecordBatch.from_pydict({"at": pa.array(at), "n": pa.array(grid.ravel()[at])})
+                near = batch.column(0).to_pylist()
+                grid += _summed(near, best(near, fit_), classes, width)
+            at = np.nonzero(grid)[0]
+            yield pa.RecordBatch.from_pydict({"at": pa.array(at), "n": pa.array(grid[at])})
 
         found = often.select("near").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
         profiles = np.zeros(classes * width)
@@ -323,7 +345,7 @@ def assign(counted: DataFrame, words: list[bytes], label: np.ndarray, seeds: int
             cls = np.array([classes + shape(w.encode()) if k < SEEN else 0 for w, k in zip(names, c, strict=True)], np.int32)
             at = np.nonzero(c >= SEEN)[0]
             if len(at):
-                cls[at] = best(batch.column(2).take(pa.array(at)).to_pylist(), last)[1]
+                cls[at] = best(batch.column(2).take(pa.array(at)).to_pylist(), last)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls)], ["word", "c", "cls"])
 
     return materialize(counted.mapInArrow(name, "word string, c long, cls int"), "classes"), classes
@@ -336,28 +358,25 @@ def code(docs: DataFrame, vocabulary: DataFrame, top: pd.DataFrame, ends: int, c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = {w: i for i, w in enumerate(words.split())}
+        known = _strings(words.split())
         c = np.r_[counts, ends].astype(float)
-        base, emit, known = np.log10(c + 1), np.log10(c + DELTA), c > 0
-        kind = np.r_[of_word, classes + SHAPES].astype(np.int32)
-        last, uid = len(table), TaskContext.get().partitionId() << 40
+        base, emit = np.log10(c + 1), np.log10(c + DELTA)
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("uid", "n_tokens", "n_known", "base", "emit", "cls", "rare")}
-            for text in batch.column("text"):
-                tokens = tokens_of(text.as_py())
-                at = np.array([table.get(w, -1) for w in tokens] + [last], np.int64)
-                missing = np.nonzero(at < 0)[0]
-                rare = [tokens[i] for i in missing]
-                cls = kind[at]
-                if rare:
-                    cls[missing] = [-1 - shape(w) for w in rare]
-                found = at[at >= 0]
-                values = (uid, len(tokens) + 1, int(known[found].sum()), base[found].sum(), emit[found].sum(), cls[:-1].tobytes(), [w.decode() for w in rare])
-                for k, v in zip(out, values, strict=True):
-                    out[k].append(v)
-                uid += 1
-            types = {"base": pa.float64(), "emit": pa.float64(), "cls": pa.binary(), "rare": pa.list_(pa.string())}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")} | {k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()})
+            for begin, to, own, codes, n in slices(batch.column("text")):
+                at = _numbered(own, known, lambda w: -1 - shape(w))
+                kind = np.where(at < 0, at, of_word[np.maximum(at, 0)] if len(of_word) else at).astype(np.int32)[codes]
+                at, text = at[codes], np.repeat(np.arange(len(n)), n)
+                found = at >= 0
+                missing = np.flatnonzero(~found)
+                sums = [np.bincount(text[found], values[at[found]], len(n)) + values[-1] for values in (base, emit)]
+                rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(text[missing], minlength=len(n)))], pa.int32()), own.take(pa.array(codes[missing])))
+                cls = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.r_[0, np.cumsum(n)] * 4).astype(np.int32)), pa.py_buffer(kind)])
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id").slice(begin, to - begin), "held_out": batch.column("held_out").slice(begin, to - begin), "uid": pa.array(np.arange(uid, uid + len(n))),
+                    "n_tokens": pa.array(n + 1), "n_known": pa.array(np.bincount(text[found], minlength=len(n)) + (ends > 0)), "base": pa.array(sums[0]), "emit": pa.array(sums[1]), "cls": cls, "rare": rare,
+                })
+                uid += len(n)
 
     def patch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The joined words' classes in place of their shapes'."""

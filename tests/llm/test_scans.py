@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,20 @@ def test_exchange_raises_likelihood():
     assert likelihood(found) >= likelihood(start) and len(set(found[:12:2])) == 1 and len(set(found[1:12:2])) == 1
 
 
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_slices_hold_each_word_once(monkeypatch, size):
+    monkeypatch.setattr(brown, "_SLICE", size)
+    texts = [None, "", " \t\n", "A a\x0bB\x0c\rÀ É  end ", " x\u0085y\u00a0z\x1c. Z", "one two ONE two one", "w" * 5000, *(t for _, t in data.texts())]
+    got, at = [], 0
+    for begin, to, words, codes, n in brown.slices(pa.array(texts, pa.string()).slice(0)):
+        assert begin == at and to > at and len(n) == to - at and len(set(words.to_pylist())) == len(words)
+        own = [words[c].as_py().encode() for c in codes.tolist()]
+        ends = [0, *n.cumsum().tolist()]
+        got += [own[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        at = to
+    assert got == [t.encode().lower().split() if t else [] for t in texts]
+
+
 def test_scores_of_nothing(spark):
     assert brown.score_texts(data.empty(spark)).count() == 0
     kept = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 7 != 2)
