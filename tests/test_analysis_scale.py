@@ -40,3 +40,14 @@ def test_a_long_pair_does_not_stretch_short_ones(monkeypatch):
     common, edits, equal = similarity.programmes(rows, rows)
     assert common.tolist() == equal.tolist() == [len(x) for x in rows] and not edits.any()
     assert sum(cells) <= 4 * 2 * sum(map(len, rows))
+
+
+def test_out_of_reach_pairs_are_left_out_before_the_programmes(spark):
+    r = np.random.default_rng(4)
+    rows = [(k, r.integers(0, 6, n).tolist(), r.integers(0, 6, m).tolist()) for k, (n, m) in enumerate([(0, 0), (0, 3), (10, 10), (70, 66), *([(10, 10), (9, 7), (40, 40)] * 60)])]
+    rows += [(len(rows) + k, [*range(10)], [*range(9 - k), *range(50, 51 + k)]) for k in range(9)]
+    df = spark.createDataFrame(rows, "k int, a array<bigint>, b array<bigint>")
+    whole = {tuple(x) for x in similarity.score_pairs(df, "a", "b").collect()}
+    some = {tuple(x) for x in similarity.score_pairs(df, "a", "b", least=0.75).collect()}
+    assert some <= whole and {x for x in whole if x[4] >= 0.75} <= some
+    assert len(some) < len(whole)
